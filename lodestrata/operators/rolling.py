@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Leaves of one tree; a power of two.
@@ -111,28 +111,34 @@ def _shards(
     own = LEAVES - reach
     day = F.col("day")
     shard = F.floor(day / own).cast("int")
-    spans = daily.groupBy("entity").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"))
     leaf = F.struct(day.alias("day"), *[F.col(v) for v in values])
     # a day in the last `reach` days of a shard is also a head day of the next
     homes = F.when(day >= (shard + 1) * own - reach, F.array(shard, shard + 1)).otherwise(F.array(shard))
+    # Daily rows are few for any entity, so the entity is the key of the one shuffle that grouping and spans share.
+    entity = Window.partitionBy("entity")
     grouped = (
-        daily.select("entity", leaf.alias("leaf"), F.explode(homes).alias("shard"))
+        daily.repartition("entity")
+        .select("entity", leaf.alias("leaf"), F.explode(homes).alias("shard"))
         .groupBy("entity", "shard")
-        .agg(F.collect_list("leaf").alias("leaves"))
+        .agg(F.collect_list("leaf").alias("leaves"), F.min("leaf.day").alias("_lo"), F.max("leaf.day").alias("_hi"))
+        .withColumns({"first_day": F.min("_lo").over(entity), "last_day": F.max("_hi").over(entity)})
+        .where(F.col("shard") * own <= F.col("last_day"))
     )
     if least_active > 1:
         grouped = grouped.where(F.size("leaves") >= least_active)
     if gaps:
-        every = spans.select(
-            "*",
-            F.explode(
-                F.sequence(F.floor(F.col("first_day") / own).cast("int"), F.floor(F.col("last_day") / own).cast("int"))
-            ).alias("shard"),
+        until = F.coalesce(
+            F.lead("shard").over(entity.orderBy("shard")) - 1, F.floor(F.col("last_day") / own).cast("int")
         )
-        out = every.join(grouped, ["entity", "shard"], "left")
-    else:
-        out = grouped.join(spans, "entity").where(F.col("shard") * own <= F.col("last_day"))
-    return out.select("entity", "shard", "first_day", "last_day", "leaves"), own
+        grouped = grouped.withColumn("_until", until).select(
+            "entity",
+            F.explode(F.sequence("shard", "_until")).alias("shard"),
+            "first_day",
+            "last_day",
+            F.struct(F.col("shard").alias("of"), "leaves").alias("_leaves"),
+        )
+        grouped = grouped.withColumn("leaves", F.when(F.col("_leaves.of") == F.col("shard"), F.col("_leaves.leaves")))
+    return grouped.select("entity", "shard", "first_day", "last_day", "leaves"), own
 
 
 def rolling_totals(
