@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.llm.cooccurrence import together
 from lodestrata.llm.encode import token_ids
+from lodestrata.llm.garbled import garbled
 from lodestrata.sources.tables import table
 
 
@@ -21,10 +22,20 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return token_ids(table(spark, d, "documents"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled(table(spark, d, "documents")).select("doc_id")
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garbled(table(spark, d, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_lift": p1_lift,
     "p7_ids": p7_ids,
+    "p9_found": p9_found,
+    "p9_restored": p9_restored,
 }
 
 _PAIRS = """
