@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestrata.llm.cooccurrence import together
 from lodestrata.llm.encode import token_ids
 from lodestrata.llm.garbled import garbled
+from lodestrata.llm.handwritten import named_files, not_handwritten
 from lodestrata.sources.tables import table
 
 
@@ -18,6 +19,14 @@ def p1_lift(spark: SparkSession, d: str) -> DataFrame:
     return together(table(spark, d, "commit_parts")).drop("repo_cell")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return not_handwritten(table(spark, d, "source_files")).select("path")
+
+
+def p6_named(spark: SparkSession, d: str) -> DataFrame:
+    return named_files(table(spark, d, "commit_parts"), table(spark, d, "snippets"), table(spark, d, "source_files"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return token_ids(table(spark, d, "documents"))
 
@@ -33,6 +42,8 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_lift": p1_lift,
+    "p6_found": p6_found,
+    "p6_named": p6_named,
     "p7_ids": p7_ids,
     "p9_found": p9_found,
     "p9_restored": p9_restored,
