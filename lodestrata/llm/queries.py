@@ -8,6 +8,7 @@ from lodestrata.llm.cooccurrence import together
 from lodestrata.llm.encode import token_ids
 from lodestrata.llm.garbled import garbled
 from lodestrata.llm.handwritten import named_files, not_handwritten
+from lodestrata.llm.names import variant_pairs
 from lodestrata.sources.tables import table
 
 
@@ -19,6 +20,10 @@ def p1_lift(spark: SparkSession, d: str) -> DataFrame:
     return together(table(spark, d, "commit_parts")).drop("repo_cell")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return variant_pairs(table(spark, d, "author_identities"), table(spark, d, "commit_parts"), table(spark, d, "raw_commits"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return not_handwritten(table(spark, d, "source_files")).select("path")
 
@@ -42,6 +47,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_lift": p1_lift,
+    "p2_found": p2_found,
     "p6_found": p6_found,
     "p6_named": p6_named,
     "p7_ids": p7_ids,
