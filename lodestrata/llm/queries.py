@@ -8,6 +8,7 @@ from lodestrata.llm.cooccurrence import together
 from lodestrata.llm.encode import token_ids
 from lodestrata.llm.garbled import garbled
 from lodestrata.llm.handwritten import named_files, not_handwritten
+from lodestrata.llm.mixing import domain_posteriors, mix
 from lodestrata.llm.names import variant_pairs
 from lodestrata.sources.tables import table
 
@@ -36,6 +37,19 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return token_ids(table(spark, d, "documents"))
 
 
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix(table(spark, d, "documents"), table(spark, d, "source_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix(table(spark, d, "documents"), table(spark, d, "source_targets"))[1]
+
+
+def p8_posteriors(spark: SparkSession, d: str) -> DataFrame:
+    """Where the documents without a source seem to come from."""
+    return domain_posteriors(table(spark, d, "documents"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return garbled(table(spark, d, "documents")).select("doc_id")
 
@@ -51,6 +65,9 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_named": p6_named,
     "p7_ids": p7_ids,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
+    "p8_posteriors": p8_posteriors,
     "p9_found": p9_found,
     "p9_restored": p9_restored,
 }
