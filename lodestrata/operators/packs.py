@@ -98,7 +98,7 @@ _J_FIELD = re.compile(
     rb"(?<=[{};])\s*((?:@%s(?:\s*\([^()]*\))?\s+|(?:public|protected|private|static|final|transient|volatile)\s+)*)(%s(?:\s*\.\s*%s)*(?:\s*<[^;{}()]*>)?(?:\s*\[\s*\])*)\s+(%s)\s*(?==[^=]|;|,)"
     % (_NAME, _NAME, _NAME, _NAME)
 )
-_KEYWORDS = frozenset(b"return throw new else case package import goto yield assert break continue instanceof do".split())
+_KEYWORDS = frozenset(b"return throw new else case package import goto yield assert break continue instanceof do record class interface enum".split())
 
 # Annotations by what they count as.
 _CLASS_STATS = {
@@ -189,7 +189,7 @@ def java(source: bytes, ignored: tuple[str, ...] = JAVA_IGNORED) -> tuple[list[F
                 stats[stat] = stats.get(stat, 0) + 1
     for m in _J_FIELD.finditer(code):
         first = m.group(2).split()[0]
-        if first in _KEYWORDS or first in (b"class", b"interface", b"record", b"enum") or _depth(code, m.start(3)) != 1:
+        if first in _KEYWORDS or _depth(code, m.start(3)) != 1:
             continue
         add("java__field__declaration", m, 3)
         stats["java__field__declarations"] = stats.get("java__field__declarations", 0) + 1

@@ -99,7 +99,7 @@ def read_tree(spark: SparkSession, root: str, rebase: bool = False) -> DataFrame
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(base)
-        .select(F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), r"^file:/+", "/").alias("full"), "content")
+        .select(F.regexp_replace("path", r"^file:/+", "/").alias("full"), "content")
     )
     relative = F.col("full").substr(F.lit(len(base.rstrip("/")) + 2), F.length("full"))
     rows = files.select(relative.alias("path"), "content").where(~ignored(F.col("path"), read_rules(base, rebase)))
