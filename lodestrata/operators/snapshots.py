@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.session import checkpointed
+
+#: Snapshots of which one row each is broadcast, at about a hundred bytes.
+BROADCAST_ROWS = 100_000
+
 
 def blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
@@ -49,57 +54,58 @@ def snapshot_changes(
         *[F.col(c).alias(f"_v{i}") for i, c in enumerate(compared)],
     ).where(F.col("_at").isNotNull())
     ks = [f"_k{i}" for i in range(len(keys))]
-    order = Window.partitionBy("_series").orderBy("_at", "_snap")
+    order = Window.partitionBy("s_series").orderBy("s_at", "s_snap")
     snaps = (
-        src.groupBy("_series", "_snap")
-        .agg(F.max("_at").alias("_at"))
-        .select("*", F.row_number().over(order).alias("_seq"), F.lead("_snap").over(order).alias("_next"), F.lead(F.lit(1)).over(order).alias("_more"))
-        .select([F.col(c).alias(f"s{c}") for c in ("_series", "_snap", "_at", "_seq", "_next", "_more")])
+        src.groupBy(F.col("_series").alias("s_series"), F.col("_snap").alias("s_snap"))
+        .agg(F.max("_at").alias("s_at"))
+        .select("*", F.row_number().over(order).alias("s_seq"), F.count(F.lit(1)).over(Window.partitionBy("s_series")).alias("s_last"))
     )
+    # one row per snapshot; counted before it is broadcast, else joined by a shuffle
+    snaps = checkpointed(snaps)
+    known = F.broadcast(snaps) if snaps.count() <= BROADCAST_ROWS else snaps
     h1, h2 = row_hash([F.col(f"_v{i}") for i in range(len(compared))])
     valid = (
         src.where(F.col(ks[-1]).isNotNull())
         .join(
-            snaps,
+            known,
             F.col("_series").eqNullSafe(F.col("s_series"))
             & F.col("_snap").eqNullSafe(F.col("s_snap"))
             & (F.col("_at") == F.col("s_at")),
         )
-        .select("_series", "_snap", F.col("s_seq").alias("_seq"), F.col("s_next").alias("_next"), F.col("s_more").alias("_more"), *ks, h1.alias("_h1"), h2.alias("_h2"))
-    )
-    # one row per key; the digest of several different rows does not depend on their order
-    keyed = (
-        valid.groupBy("_series", "_seq", "_snap", "_next", "_more", *ks, "_h1", "_h2")
-        .agg(F.lit(1).alias("_one"))
-        .groupBy("_series", "_seq", "_snap", "_next", "_more", *ks)
-        .agg(F.bit_xor("_h1").alias("_x1"), F.bit_xor("_h2").alias("_x2"), F.sum("_one").alias("_n"))
+        .select("_series", F.col("s_seq").alias("_seq"), F.col("s_last").alias("_last"), *ks, h1.alias("_h1"), h2.alias("_h2"))
     )
-    later = keyed.select(*[F.col(c).alias(f"c{c}") for c in ("_series", "_seq", "_snap", *ks, "_x1", "_x2", "_n")]).where(
-        F.col("c_seq") > 1
+    # One row per key, combined in the map tasks. The digest does not depend on order or repetition: of one row it holds
+    # both hashes, of two both first hashes, of more the bits of all besides.
+    digest = [F.min("_h1"), F.max("_h1"), F.bit_or("_h1"), F.bit_and("_h1"), F.bit_or("_h2"), F.bit_and("_h2")]
+    keyed = valid.groupBy("_series", "_seq", *ks).agg(F.max("_last").alias("_last"), *[d.alias(f"_d{i}") for i, d in enumerate(digest)])
+    ds = [f"_d{i}" for i in range(len(digest))]
+    later = keyed.where(F.col("_seq") > 1).select(*[F.col(c).alias(f"c{c}") for c in ("_series", "_seq", *ks, *ds)])
+    before = keyed.where(F.col("_seq") < F.col("_last")).select(
+        *[F.col(c).alias(f"p{c}") for c in ("_series", *ks, *ds)], (F.col("_seq") + 1).alias("p_seq")
     )
-    before = keyed.select(
-        *[F.col(c).alias(f"p{c}") for c in ("_series", "_next", "_more", *ks, "_x1", "_x2", "_n")],
-        (F.col("_seq") + 1).alias("p_seq"),
-    ).where(F.col("p_more").isNotNull())
     met = F.col("c_seq") == F.col("p_seq")
     for c in ("_series", *ks):
         met = met & F.col(f"c{c}").eqNullSafe(F.col(f"p{c}"))
-    same = (F.col("c_x1") == F.col("p_x1")) & (F.col("c_x2") == F.col("p_x2")) & (F.col("c_n") == F.col("p_n"))
+    same = F.lit(True)
+    for c in ds:
+        same = same & (F.col(f"c{c}") == F.col(f"p{c}"))
     change = F.when(F.col("p_seq").isNull(), "added").when(F.col("c_seq").isNull(), "removed").when(~same, "changed")
 
     def either(c: str) -> Column:
         return F.when(F.col("c_seq").isNull(), F.col(f"p{c}")).otherwise(F.col(f"c{c}"))
 
-    return (
+    found = (
         later.join(before, met, "full_outer")
-        .withColumn("change", change)
-        .where(F.col("change").isNotNull())
-        .select(
-            either("_series").alias(series),
-            F.when(F.col("c_seq").isNull(), F.col("p_next")).otherwise(F.col("c_snap")).alias(snapshot),
-            *[either(k).alias(name) for k, name in zip(ks, keys, strict=True)],
-            "change",
-        )
+        .withColumn("_change", change)
+        .where(F.col("_change").isNotNull())
+        .select(either("_series").alias("_series"), F.coalesce("c_seq", "p_seq").alias("_seq"), *[either(k).alias(k) for k in ks], "_change")
+    )
+    # the name of a snapshot only goes with the changes
+    return found.join(known, F.col("_series").eqNullSafe(F.col("s_series")) & (F.col("_seq") == F.col("s_seq"))).select(
+        F.col("_series").alias(series),
+        F.col("s_snap").alias(snapshot),
+        *[F.col(k).alias(name) for k, name in zip(ks, keys, strict=True)],
+        F.col("_change").alias("change"),
     )
 
 
