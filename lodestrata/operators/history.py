@@ -44,16 +44,28 @@ def commit_stats(parts: DataFrame, keys: Sequence[str], based_on: dt.datetime |
     files. Null counts add 0; a part without time is in no bucket.
     """
     columns = {"commits": "commit_hash", "unique_file_changes": "file", "unique_component_changes": "component", "authors": "author"}
-    rows = with_age(parts, based_on)
+    days = (None, *buckets)
+    counted, summed = [w for w in what if w in columns], [w for w in what if w not in columns]
+    # One row per thing to count, and one that carries the sums. A first aggregate keeps each different value once with its
+    # smallest age, which decides the buckets it is in; a second counts. Nothing is multiplied by the buckets.
+    kinds = [F.struct(F.lit(w).alias("kind"), F.col(columns[w]).cast("string").alias("value")) for w in counted]
+    kinds.append(F.struct(F.lit("").alias("kind"), F.lit(None).cast("string").alias("value")))
+    rows = with_age(parts, based_on).select(*keys, "age", *[F.col(w).cast("long").alias(w) for w in summed], F.explode(F.array(*kinds)).alias("x"))
+    amount = lambda w, d: F.sum(F.when(F.col("x.kind") == "", _inside(F.col(w), d)))
+    once = (
+        rows.where((F.col("x.kind") == "") | F.col("x.value").isNotNull())
+        .groupBy(*keys, F.col("x.kind").alias("kind"), F.col("x.value").alias("value"))
+        .agg(F.min("age").alias("age"), *[amount(w, d).alias(f"_{w}_{d}") for w in summed for d in days])
+    )
     aggs = []
-    for days in (None, *buckets):
+    for d in days:
         for w in what:
             if w in columns:
-                e = F.count_distinct(_inside(F.col(columns[w]), days))
+                e = F.count(F.when(F.col("kind") == w, _inside(F.lit(1), d)))
             else:
-                e = F.coalesce(F.sum(_inside(F.col(w).cast("long"), days)), F.lit(0).cast("long"))
-            aggs.append(e.alias(day_stat(f"git__{w}", days)))
-    return rows.groupBy(*keys).agg(*aggs)
+                e = F.coalesce(F.sum(f"_{w}_{d}"), F.lit(0).cast("long"))
+            aggs.append(e.alias(day_stat(f"git__{w}", d)))
+    return once.groupBy(*keys).agg(*aggs)
 
 
 def oldest_age(parts: DataFrame, keys: Sequence[str], based_on: dt.datetime | str) -> DataFrame:

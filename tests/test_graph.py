@@ -137,7 +137,9 @@ def test_level_search_equals_kernel(spark):
     assert sorted(map(tuple, graph.distances(edges).collect())) == sorted(map(tuple, graph.distances_by_level(edges).collect()))
 
 
-def test_connected(spark):
+@pytest.mark.parametrize("limit", [0, 200_000])
+def test_connected(spark, monkeypatch, limit):
+    monkeypatch.setattr("lodestrata.operators.components.IN_ONE_TASK", limit)
     rng = random.Random(1)
     pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(40)] + [(5, 5)]
     parent = list(range(200))
