@@ -174,13 +174,14 @@ def pair_counts(
     cell = F.hash("scope", "kind").alias("cell")
     rows = rows.select("scope", "kind", "basket", "item", cell, F.xxhash64("item").alias("id"))
     incidence = rows.select("cell", "basket", "id").distinct()
-    # names travel once per task and item, not with every row
-    names = rows.groupBy("cell", "id").agg(
-        F.min("scope").alias("scope"), F.min("kind").alias("kind"), F.min("item").alias("item"), F.max("item").alias("_other")
+    # Names travel once per task and item, not with every row; text is a key here, as an aggregate of text would sort.
+    distinct_names = rows.groupBy("scope", "kind", "item").agg(F.first("cell").alias("cell"), F.first("id").alias("id"))
+    names = distinct_names.groupBy("cell", "id").agg(
+        F.min("scope").alias("scope"), F.min("kind").alias("kind"), F.min("item").alias("item"), F.count(F.lit(1)).alias("_names")
     )
     totals = per_basket.groupBy(F.col("scope").alias("b_scope")).agg(F.count(F.lit(1)).alias("n_baskets"))
     sizes = incidence.groupBy("cell", "id").agg(F.count(F.lit(1)).alias("n_item")).where(F.col("n_item") >= bounds.least)
-    one_name = F.when(F.col("item") == F.col("_other"), True).otherwise(
+    one_name = F.when(F.col("_names") == 1, True).otherwise(
         F.raise_error(F.lit("two items share an id")).cast("boolean")
     )
     items = (
