@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.session import checkpointed
+
 
 def per_key_totals(
     rows: DataFrame, key: str, sums: Mapping[str, str] | None = None, distinct: Mapping[str, str] | None = None
@@ -47,7 +49,7 @@ def heavy_keys(rows: DataFrame, key: str, percent: int = 2) -> DataFrame:
     Null and ``''`` are no keys, but their rows count in the total. The total is the sum over the compact per-key counts,
     not a second pass over the rows. No rows give no keys. ``percent`` is a whole number, so the test is exact.
     """
-    counts = per_key_totals(rows, key)
+    counts = checkpointed(per_key_totals(rows, key))  # compact, and read twice
     total = counts.agg(F.sum("row_count")).scalar()
     return counts.where(
         F.col("key_value").isNotNull()
