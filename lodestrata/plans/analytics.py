@@ -616,3 +616,6 @@ FROM (SELECT DISTINCT * FROM snippets) s WHERE snippet_type = '{DECLARATIONS}' A
 SQL["dist_all_pairs"] = SQL["dist_by_level"] = (
     f"WITH RECURSIVE {_PATHS} SELECT src, dst, d AS distance, COUNT(*) AS ways FROM paths WHERE src <> dst GROUP BY ALL"
 )
+SQL["definitions"] = "SELECT * FROM (VALUES {}) AS t(id, name, short, long)".format(
+    ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in engine.DEFINITIONS)
+)
