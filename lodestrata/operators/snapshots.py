@@ -74,11 +74,14 @@ def snapshot_changes(
         )
         .select("_series", F.col("s_seq").alias("_seq"), F.col("s_last").alias("_last"), *ks, h1.alias("_h1"), h2.alias("_h2"))
     )
-    # One row per key, combined in the map tasks. The digest does not depend on order or repetition: of one row it holds
-    # both hashes, of two both first hashes, of more the bits of all besides.
-    digest = [F.min("_h1"), F.max("_h1"), F.bit_or("_h1"), F.bit_and("_h1"), F.bit_or("_h2"), F.bit_and("_h2")]
-    keyed = valid.groupBy("_series", "_seq", *ks).agg(F.max("_last").alias("_last"), *[d.alias(f"_d{i}") for i, d in enumerate(digest)])
-    ds = [f"_d{i}" for i in range(len(digest))]
+    # one row per key; the digest of several different rows depends neither on their order nor on repetition
+    keyed = (
+        valid.groupBy("_series", "_seq", "_last", *ks, "_h1", "_h2")
+        .agg(F.lit(1).alias("_one"))
+        .groupBy("_series", "_seq", "_last", *ks)
+        .agg(F.bit_xor("_h1").alias("_x1"), F.bit_xor("_h2").alias("_x2"), F.sum("_one").alias("_n"))
+    )
+    ds = ["_x1", "_x2", "_n"]
     later = keyed.where(F.col("_seq") > 1).select(*[F.col(c).alias(f"c{c}") for c in ("_series", "_seq", *ks, *ds)])
     before = keyed.where(F.col("_seq") < F.col("_last")).select(
         *[F.col(c).alias(f"p{c}") for c in ("_series", *ks, *ds)], (F.col("_seq") + 1).alias("p_seq")

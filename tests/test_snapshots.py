@@ -53,6 +53,14 @@ def test_different_rows_of_one_key_are_a_set(spark):
     assert changes(spark, [a, b, again[0]]) == [("b", "x", "changed")]
 
 
+def test_one_of_many_rows_of_a_key_changes(spark):
+    keys = [f"k{k}" for k in range(20)]
+    before = [row("a", 1, k, lines=n) for k in keys for n in range(20)]
+    after = [row("b", 2, k, lines=n if n != 7 else 99) for k in keys for n in reversed(range(20))] + [row("b", 2, k, lines=3) for k in keys]
+    assert changes(spark, before + after) == sorted(("b", k, "changed") for k in keys)
+    assert changes(spark, before + [row("b", 2, k, lines=n) for k in keys for n in [*reversed(range(20)), 3]]) == []
+
+
 @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.integers(0, 4), st.sampled_from("abc"), st.one_of(st.none(), st.integers(0, 1))), max_size=25))
 def test_against_brute_force(spark, data):
