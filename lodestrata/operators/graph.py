@@ -1,14 +1,15 @@
 """The component graph: reachability, paths, cycles, groups and centralities.
 
 A graph of components falls into islands (code bases that never import each other), found by distributed connected
-components. Islands up to ``LARGEST`` nodes are handled as one task each by the kernels, all islands in parallel. For larger ones there is the
-level-by-level search over DataFrames (:func:`distances_by_level`), from which distances, closeness, reachability and
-strong components follow by joins alone; PageRank and HITS always are joins over all edges.
+components. Islands up to ``LARGEST`` nodes are handled as one task each by the kernels, all islands in parallel. Larger ones go
+through level-by-level searches over DataFrames: :func:`distances_by_level`, from which closeness, reachability and strong
+components follow, and the functions that end in ``_by_level`` for paths, cycles and betweenness, with the same results.
+Communities are found by one task per island of any size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -36,25 +37,40 @@ def graph_nodes(edges: DataFrame, components: DataFrame | None = None) -> DataFr
 
 
 def islands(edges: DataFrame) -> DataFrame:
-    """``from, to, island``: each edge with the smallest node of its island. An island beyond LARGEST nodes is an error."""
+    """``from, to, island, nodes``: each edge with the smallest node of its island and the number of the island's nodes."""
     labels = connected(edges.select(F.col("from").alias("u"), F.col("to").alias("v")))
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("nodes"))
-    fits = F.when(F.col("nodes") <= LARGEST, F.col("label")).otherwise(
-        F.raise_error(F.lit("an island is too large for one task; use distances_by_level"))
-    )
-    known = labels.join(sizes, "label").select("node", fits.alias("island"))
-    return edges.join(known, edges["from"] == known["node"]).select("from", "to", "island")
+    known = labels.join(sizes, "label").select("node", F.col("label").alias("island"), "nodes")
+    return edges.join(known, edges["from"] == known["node"]).select("from", "to", "island", "nodes")
+
+
+def parted(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Edges of the islands that a kernel takes, with their ``island``; and ``from, to`` of the larger ones, None without such."""
+    grouped = edges if "island" in edges.columns else checkpointed(islands(edges))
+    large = grouped.where(F.col("nodes") > LARGEST).select("from", "to")
+    return (grouped, None) if large.isEmpty() else (grouped.where(F.col("nodes") <= LARGEST), checkpointed(large))
 
 
-def per_graph(edges: DataFrame, kernel: Callable[[K.Adjacency], list[tuple]], schema: str, group: str | None = None) -> DataFrame:
+def per_graph(
+    edges: DataFrame,
+    kernel: Callable[[K.Adjacency], list[tuple]],
+    schema: str,
+    group: str | None = None,
+    joined: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """The rows of ``kernel`` for each island of ``edges``, or for each value of the column ``group``.
 
+    ``joined`` gives the same rows from the edges of all islands beyond LARGEST nodes; without it a kernel takes any size.
     Edges that come with their ``island`` already are not searched for islands again.
     """
+    large = None
     if group:
         grouped = edges.withColumnRenamed(group, "island")
+    elif joined:
+        grouped, large = parted(edges)
     else:
         grouped = edges if "island" in edges.columns else islands(edges)
+    grouped = grouped.select("from", "to", "island")
     names = [x.split()[0] for x in schema.split(", ")]
     kind = next(f.dataType.simpleString() for f in grouped.schema.fields if f.name == "island")
     full = (f"{group} {kind}, " if group else "") + schema
@@ -66,7 +82,8 @@ def per_graph(edges: DataFrame, kernel: Callable[[K.Adjacency], list[tuple]], sc
             out.insert(0, group, pdf["island"].iloc[0])
         return out
 
-    return grouped.groupBy("island").applyInPandas(run, full)
+    rows = grouped.groupBy("island").applyInPandas(run, full)
+    return rows if large is None else rows.unionByName(joined(large))
 
 
 def predecessors(edges: DataFrame) -> DataFrame:
@@ -89,7 +106,7 @@ def distances(edges: DataFrame) -> DataFrame:
             out += [(s, t, d, ways[t]) for t, d in dist.items() if t != s]
         return out
 
-    return per_graph(edges, kernel, "src string, dst string, distance long, ways long")
+    return per_graph(edges, kernel, "src string, dst string, distance long, ways long", joined=distances_by_level)
 
 
 def distances_by_level(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
@@ -97,11 +114,16 @@ def distances_by_level(edges: DataFrame, sources: DataFrame | None = None) -> Da
 
     ``sources`` (column ``src``) limits where the search begins. Each level is checkpointed.
     """
+    return _levels(edges, sources).where(F.col("distance") > 0)
+
+
+def _levels(edges: DataFrame, sources: DataFrame | None = None, ways: str = "long") -> DataFrame:
+    """The rows of :func:`distances_by_level` and each source itself at distance 0; ``ways`` is the type of their number."""
     edges = checkpointed(edges.select("from", "to"))
     start = edges.select(F.col("from").alias("src")).distinct()
     if sources is not None:
         start = start.join(sources.select("src"), "src", "left_semi")
-    frontier = start.select("src", F.col("src").alias("dst"), F.lit(0).cast("long").alias("distance"), F.lit(1).cast("long").alias("ways"))
+    frontier = start.select("src", F.col("src").alias("dst"), F.lit(0).cast("long").alias("distance"), F.lit(1).cast(ways).alias("ways"))
     seen = frontier
     level = 0
     while True:
@@ -116,7 +138,32 @@ def distances_by_level(edges: DataFrame, sources: DataFrame | None = None) -> Da
         if frontier.isEmpty():
             break
         seen = checkpointed(seen.unionByName(frontier))
-    return seen.where(F.col("distance") > 0)
+    return seen
+
+
+def _smallest_paths(edges: DataFrame) -> Iterator[DataFrame]:
+    """For each distance from 1 on ``src, dst, path``: the smallest shortest path in text order, as an array of nodes.
+
+    Paths to one node are of one length, so the smallest goes on from a smallest one.
+    """
+    at = edges.select(F.col("from").alias("src")).distinct().select("src", F.col("src").alias("dst"), F.array("src").alias("path"))
+    seen = at.select("src", "dst")
+    while True:
+        at = checkpointed(
+            at.join(edges, at["dst"] == edges["from"])
+            .groupBy("src", F.col("to").alias("dst"))
+            .agg(F.min("path").alias("path"))
+            .join(seen, ["src", "dst"], "left_anti")
+            .select("src", "dst", F.concat("path", F.array("dst")).alias("path"))
+        )
+        if at.isEmpty():
+            return
+        yield at
+        seen = checkpointed(seen.union(at.select("src", "dst")))
+
+
+def _none(edges: DataFrame, schema: str) -> DataFrame:
+    return edges.sparkSession.createDataFrame([], schema)
 
 
 def reachable(dist: DataFrame) -> DataFrame:
@@ -157,7 +204,35 @@ def indirect_connections(edges: DataFrame) -> DataFrame:
     def kernel(adj: K.Adjacency) -> list[tuple]:
         return [(p[0], p[-1], len(p), " -> ".join(p)) for s in adj for p in K.all_shortest_paths(adj, s)]
 
-    return per_graph(edges, kernel, "from string, to string, shortest_path_length long, shortest_path string")
+    return per_graph(edges, kernel, "from string, to string, shortest_path_length long, shortest_path string", joined=indirect_by_level)
+
+
+def indirect_by_level(edges: DataFrame) -> DataFrame:
+    """The same as :func:`indirect_connections` for graphs of any size: paths grow by an edge where the distance does."""
+    edges = checkpointed(edges.select("from", "to"))
+    # the number of ways is not used, and as a double does not overflow
+    dist = _levels(edges, ways="double")
+    at = edges.select(F.col("from").alias("src")).distinct().select("src", F.col("src").alias("last"), F.array("src").alias("path"))
+    found = _none(edges, "src string, last string, path array<string>")
+    level = 0
+    while True:
+        level += 1
+        there = dist.where(F.col("distance") == level).select(F.col("src").alias("s"), "dst")
+        grown = at.join(edges, at["last"] == edges["from"]).select("src", "to", "path")
+        at = checkpointed(
+            grown.join(there, (F.col("src") == F.col("s")) & (F.col("to") == F.col("dst"))).select(
+                "src", F.col("to").alias("last"), F.concat("path", F.array("to")).alias("path")
+            )
+        )
+        if at.isEmpty():
+            break
+        found = checkpointed(found.union(at))
+    return found.select(
+        F.col("src").alias("from"),
+        F.col("last").alias("to"),
+        F.size("path").cast("long").alias("shortest_path_length"),
+        F.array_join("path", " -> ").alias("shortest_path"),
+    )
 
 
 def furthest_connections(edges: DataFrame) -> DataFrame:
@@ -177,16 +252,59 @@ def furthest_connections(edges: DataFrame) -> DataFrame:
         edges,
         kernel,
         "component string, furthest_component string, furthest_component_distance long, furthest_component_shortest_path string",
+        joined=furthest_by_level,
     )
 
 
+def furthest_by_level(edges: DataFrame) -> DataFrame:
+    """The same as :func:`furthest_connections` for graphs of any size: the paths of the last level that a source has."""
+    edges = checkpointed(edges.select("from", "to"))
+    far = _none(edges, "src string, path array<string>")
+    for at in _smallest_paths(edges):
+        now = at.groupBy("src").agg(F.min("path").alias("path"))
+        far = checkpointed(now.union(far.join(now.select("src"), "src", "left_anti")))
+    return far.select(
+        F.col("src").alias("component"),
+        F.element_at("path", -1).alias("furthest_component"),
+        F.size("path").cast("long").alias("furthest_component_distance"),
+        F.array_join("path", " -> ").alias("furthest_component_shortest_path"),
+    )
+
+
+def within_cycles(edges: DataFrame) -> DataFrame:
+    """The edges that lie on a cycle; their islands are the strongly connected groups."""
+    back = distances_by_level(edges).select(F.col("dst").alias("from"), F.col("src").alias("to"))
+    return checkpointed(edges.join(back, ["from", "to"], "left_semi").select("from", "to"))
+
+
+def _closed(members: DataFrame) -> DataFrame:
+    return members.select(F.array_join(F.concat("members", F.slice("members", 1, 1)), " -> ").alias("cycle"), "members")
+
+
 def shortest_cycles(edges: DataFrame) -> DataFrame:
     """``cycle, members`` (the path as text, closed, and its nodes, not closed) of the shortest cycles."""
 
     def kernel(adj: K.Adjacency) -> list[tuple]:
         return [(" -> ".join([*c, c[0]]), c) for c in K.shortest_cycles(adj)]
 
-    return per_graph(edges, kernel, "cycle string, members array<string>")
+    def joined(large: DataFrame) -> DataFrame:
+        # of a large island only its strongly connected groups matter, and most of them fit a task
+        return per_graph(within_cycles(large), kernel, schema, joined=shortest_cycles_by_level)
+
+    schema = "cycle string, members array<string>"
+    return per_graph(edges, kernel, schema, joined=joined)
+
+
+def shortest_cycles_by_level(edges: DataFrame) -> DataFrame:
+    """The same as :func:`shortest_cycles` for graphs of any size: the smallest paths that an edge closes."""
+    edges = checkpointed(edges.select("from", "to"))
+    closing = edges.select(F.col("from").alias("dst"), F.col("to").alias("src"))
+    at_least = F.array_position("path", F.array_min("path")).cast("int")
+    rotated = F.concat(F.slice("path", at_least, F.size("path")), F.slice("path", F.lit(1), at_least - 1))
+    found = _none(edges, "members array<string>")
+    for at in _smallest_paths(edges):
+        found = checkpointed(found.union(at.join(closing, ["src", "dst"], "left_semi").select(rotated.alias("members"))).distinct())
+    return _closed(found)
 
 
 def elementary_cycles(edges: DataFrame) -> DataFrame:
@@ -195,7 +313,26 @@ def elementary_cycles(edges: DataFrame) -> DataFrame:
     def kernel(adj: K.Adjacency) -> list[tuple]:
         return [(" -> ".join([*c, c[0]]), c) for c in K.elementary_cycles(adj)]
 
-    return per_graph(edges, kernel, "cycle string, members array<string>")
+    def joined(large: DataFrame) -> DataFrame:
+        # of a large island only its strongly connected groups matter, and most of them fit a task
+        return per_graph(within_cycles(large), kernel, schema, joined=elementary_cycles_by_level)
+
+    schema = "cycle string, members array<string>"
+    return per_graph(edges, kernel, schema, joined=joined)
+
+
+def elementary_cycles_by_level(edges: DataFrame) -> DataFrame:
+    """The same as :func:`elementary_cycles` for graphs of any size: paths over later nodes than their first, until closed."""
+    edges = checkpointed(edges.select("from", "to"))
+    at = edges.where(F.col("to") > F.col("from")).select(F.array("from", "to").alias("path"), F.col("to").alias("last"))
+    found = _none(edges, "members array<string>")
+    first = F.element_at("path", 1)
+    while not at.isEmpty():
+        grown = at.join(edges, at["last"] == edges["from"]).select("path", "to")
+        found = checkpointed(found.union(grown.where(F.col("to") == first).select(F.col("path").alias("members"))))
+        on = (F.col("to") > first) & ~F.array_contains("path", F.col("to"))
+        at = checkpointed(grown.where(on).select(F.concat("path", F.array("to")).alias("path"), F.col("to").alias("last")))
+    return _closed(found)
 
 
 def numbered(cycles: DataFrame) -> DataFrame:
@@ -249,7 +386,34 @@ def cycles_per_component(cycles: DataFrame) -> DataFrame:
 
 def betweenness(edges: DataFrame) -> DataFrame:
     """``name, graph__betweenness``: directed, not normalised."""
-    return per_graph(edges, lambda adj: list(K.betweenness(adj).items()), "name string, graph__betweenness double")
+    return per_graph(
+        edges, lambda adj: list(K.betweenness(adj).items()), "name string, graph__betweenness double", joined=betweenness_by_level
+    )
+
+
+def betweenness_by_level(edges: DataFrame) -> DataFrame:
+    """The same as :func:`betweenness` for graphs of any size: shares are handed back from each level to the one before.
+
+    Shortest paths are counted as doubles; more of them between two nodes than a double holds is an error.
+    """
+    edges = checkpointed(edges.select("from", "to"))
+    dist = _levels(edges, ways="double")
+    ways = F.when(F.col("ways") < float("inf"), F.col("ways")).otherwise(F.raise_error(F.lit("too many shortest paths")))
+    total = graph_nodes(edges).select("name", F.lit(0.0).alias("need"))
+    handed = _none(edges, "s string, b string, need double")
+    for level in range(dist.agg(F.max("distance")).first()[0] or 0, 1, -1):
+        far = dist.where(F.col("distance") == level).select(F.col("src").alias("s"), F.col("dst").alias("b"), ways.alias("ways_b"))
+        far = far.join(handed, ["s", "b"], "left").select("s", "b", "ways_b", F.coalesce("need", F.lit(0.0)).alias("need"))
+        near = dist.where(F.col("distance") == level - 1).select("src", "dst", ways.alias("ways_a"))
+        steps = near.join(edges, near["dst"] == edges["from"]).select("src", "dst", "to", "ways_a")
+        handed = checkpointed(
+            steps.join(far, (F.col("src") == F.col("s")) & (F.col("to") == F.col("b")))
+            .groupBy("src", "dst")
+            .agg(F.sum(F.col("ways_a") / F.col("ways_b") * (1 + F.col("need"))).alias("need"))
+            .select(F.col("src").alias("s"), F.col("dst").alias("b"), "need")
+        )
+        total = checkpointed(total.union(handed.select("b", "need")).groupBy("name").agg(F.sum("need").alias("need")))
+    return total.select("name", F.col("need").alias("graph__betweenness"))
 
 
 def page_rank(edges: DataFrame, nodes: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:

@@ -163,3 +163,25 @@ def test_group_metrics(spark, f1):
     assert got["d"]["group__graph__page_rank"] == 0.0 and got["d"]["group__modularity__coupling__afferent"] == 0
     assert got["a"]["group__modularity__coupling__efferent"] == 2 and got["a"]["group__cycles__short__count"] == 4
     assert sum(got[n]["group__graph__page_rank"] for n in "abc") == pytest.approx(1)
+
+
+def test_islands_beyond_the_limit_give_the_same(spark, monkeypatch):
+    # an island of 12 nodes with groups of 5 and 3, one of 3 nodes, and a limit between
+    text = "A B,B C,C D,D E,E A,B D,C A,A D,E F,E G,F H,G H,H I,I J,J H,J K,F K,H L,x y,y z,z x,x z"
+    edges = spark.createDataFrame([tuple(e.split()) for e in text.split(",")], "from string, to string")
+    queries = {
+        f.__name__: f
+        for f in (
+            graph.distances, graph.indirect_connections, graph.furthest_connections, graph.shortest_cycles, graph.elementary_cycles, graph.communities
+        )
+    }
+    rows = lambda df: sorted(tuple(map(str, r)) for r in df.collect())
+    want = {name: rows(f(edges)) for name, f in queries.items()}
+    between = by_name(graph.betweenness(edges), "graph__betweenness")
+    monkeypatch.setattr(graph, "LARGEST", 4)
+    for name, f in queries.items():
+        assert rows(f(edges)) == want[name], name
+    got = by_name(graph.betweenness(edges), "graph__betweenness")
+    assert got.keys() == between.keys() and all(got[n] == pytest.approx(between[n]) for n in got)
+    known = graph.islands(edges).persist()
+    assert rows(graph.furthest_connections(known)) == want["furthest_connections"]
