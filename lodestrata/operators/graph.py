@@ -416,8 +416,11 @@ def betweenness_by_level(edges: DataFrame) -> DataFrame:
     return total.select("name", F.col("need").alias("graph__betweenness"))
 
 
-def page_rank(edges: DataFrame, nodes: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """``name, graph__page_rank`` after ``rounds`` rounds over all edges; nodes without successors give to all."""
+def page_rank(edges: DataFrame, nodes: DataFrame, rounds: int = 20, damping: float = 0.85, tolerance: float = 0.0) -> DataFrame:
+    """``name, graph__page_rank`` after ``rounds`` rounds over all edges; nodes without successors give to all.
+
+    Rounds end earlier once one changes the ranks by less than ``tolerance`` in sum.
+    """
     edges, nodes = checkpointed(edges), checkpointed(nodes)
     n = nodes.count()
     if not n:
@@ -430,15 +433,21 @@ def page_rank(edges: DataFrame, nodes: DataFrame, rounds: int = 20, damping: flo
         given = links.join(rank.select("name", "rank"), F.col("from") == F.col("name")).groupBy(F.col("to").alias("t")).agg(
             F.sum(F.col("rank") / F.col("degree")).alias("given")
         )
+        new = F.lit((1 - damping) / n + damping * loose / n) + damping * F.coalesce("given", F.lit(0.0))
         rank = rank.join(given, F.col("name") == F.col("t"), "left").select(
-            "name", "degree", (F.lit((1 - damping) / n + damping * loose / n) + damping * F.coalesce("given", F.lit(0.0))).alias("rank")
+            "name", "degree", new.alias("rank"), F.abs(new - F.col("rank")).alias("change")
         )
         rank = checkpointed(rank)
+        if tolerance and rank.agg(F.sum("change")).first()[0] < tolerance:
+            break
     return rank.select("name", F.col("rank").alias("graph__page_rank"))
 
 
-def hits(edges: DataFrame, nodes: DataFrame, rounds: int = 20) -> DataFrame:
-    """``name, graph__hits__hub_score, graph__hits__authority_score`` after ``rounds`` rounds, each of length 1."""
+def hits(edges: DataFrame, nodes: DataFrame, rounds: int = 20, tolerance: float = 0.0) -> DataFrame:
+    """``name, graph__hits__hub_score, graph__hits__authority_score`` after ``rounds`` rounds, each of length 1.
+
+    Rounds end earlier once one changes the hub scores by less than ``tolerance`` in sum.
+    """
     edges, nodes = checkpointed(edges), checkpointed(nodes)
     hub = nodes.select("name", F.lit(1.0).alias("hub"))
     auth = nodes.select("name", F.lit(0.0).alias("auth"))
@@ -449,10 +458,13 @@ def hits(edges: DataFrame, nodes: DataFrame, rounds: int = 20) -> DataFrame:
         return values.withColumn(c, F.col(c) / size)
 
     for _ in range(rounds):
+        last = hub.select("name", F.col("hub").alias("last"))
         got = edges.join(hub, edges["from"] == hub["name"]).groupBy(F.col("to").alias("t")).agg(F.sum("hub").alias("got"))
         auth = scaled(nodes.join(got, F.col("name") == F.col("t"), "left").select("name", F.coalesce("got", F.lit(0.0)).alias("auth")), "auth")
         got = edges.join(auth, edges["to"] == auth["name"]).groupBy(F.col("from").alias("t")).agg(F.sum("auth").alias("got"))
         hub = scaled(nodes.join(got, F.col("name") == F.col("t"), "left").select("name", F.coalesce("got", F.lit(0.0)).alias("hub")), "hub")
+        if tolerance and (hub.join(last, "name").agg(F.sum(F.abs(F.col("hub") - F.col("last")))).first()[0] or 0.0) < tolerance:
+            break
     return hub.join(auth, "name").select(
         "name", F.col("hub").alias("graph__hits__hub_score"), F.col("auth").alias("graph__hits__authority_score")
     )
@@ -462,11 +474,12 @@ def ranks(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``name, graph__page_rank, graph__hits__hub_score, graph__hits__authority_score``, converged.
 
     Both are of the whole graph, so islands do not part it. Up to ``ONE_TASK`` edges it is one task, at a 100 bytes each;
-    beyond that the rounds run as joins.
+    beyond that the rounds run as joins, with the same tolerance and bound on rounds.
     """
     edges = edges.select("from", "to")
     if edges.count() > ONE_TASK:
-        return page_rank(edges, nodes, 100).join(hits(edges, nodes, 100), "name")
+        converged = {"rounds": K.ROUNDS, "tolerance": K.TOLERANCE}
+        return page_rank(edges, nodes, **converged).join(hits(edges, nodes, **converged), "name")
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         linked = pdf[pdf["to"].notna()]

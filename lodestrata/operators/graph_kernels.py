@@ -6,6 +6,9 @@ from collections import defaultdict, deque
 
 Adjacency = dict[str, list[str]]
 
+#: Ranks have converged when a round changes them by less in sum; and the most rounds.
+TOLERANCE, ROUNDS = 1e-10, 500
+
 
 def adjacency(edges: list[tuple[str, str]]) -> Adjacency:
     """Successors of every node, each list sorted; nodes without successors have an empty one."""
@@ -178,13 +181,13 @@ def betweenness(adj: Adjacency) -> dict[str, float]:
     return total
 
 
-def page_rank(adj: Adjacency, damping: float = 0.85, tolerance: float = 1e-10, rounds: int = 500) -> dict[str, float]:
+def page_rank(adj: Adjacency, damping: float = 0.85) -> dict[str, float]:
     """PageRank that sums to 1; nodes without successors give to all. No edges: zeros."""
     n = len(adj)
     if not any(adj.values()):
         return dict.fromkeys(adj, 0.0)
     rank = dict.fromkeys(adj, 1.0 / n)
-    for _ in range(rounds):
+    for _ in range(ROUNDS):
         loose = sum(r for a, r in rank.items() if not adj[a])
         new = dict.fromkeys(adj, (1 - damping) / n + damping * loose / n)
         for a, bs in adj.items():
@@ -192,17 +195,17 @@ def page_rank(adj: Adjacency, damping: float = 0.85, tolerance: float = 1e-10, r
                 new[b] += damping * rank[a] / len(bs)
         change = sum(abs(new[a] - rank[a]) for a in adj)
         rank = new
-        if change < tolerance:
+        if change < TOLERANCE:
             break
     return rank
 
 
-def hits(adj: Adjacency, tolerance: float = 1e-10, rounds: int = 500) -> dict[str, tuple[float, float]]:
+def hits(adj: Adjacency) -> dict[str, tuple[float, float]]:
     """Hub and authority of each node, each of length 1 over all nodes. No edges: zeros."""
     if not any(adj.values()):
         return {a: (0.0, 0.0) for a in adj}
     hub, auth = dict.fromkeys(adj, 1.0), {}
-    for _ in range(rounds):
+    for _ in range(ROUNDS):
         auth = dict.fromkeys(adj, 0.0)
         for a, bs in adj.items():
             for b in bs:
@@ -214,7 +217,7 @@ def hits(adj: Adjacency, tolerance: float = 1e-10, rounds: int = 500) -> dict[st
         new = {a: x / size for a, x in new.items()}
         change = sum(abs(new[a] - hub[a]) for a in adj)
         hub = new
-        if change < tolerance:
+        if change < TOLERANCE:
             break
     return {a: (hub[a], auth[a]) for a in adj}
 

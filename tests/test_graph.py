@@ -185,3 +185,18 @@ def test_islands_beyond_the_limit_give_the_same(spark, monkeypatch):
     assert got.keys() == between.keys() and all(got[n] == pytest.approx(between[n]) for n in got)
     known = graph.islands(edges).persist()
     assert rows(graph.furthest_connections(known)) == want["furthest_connections"]
+
+
+def test_ranks_in_one_task_and_as_joins_are_the_same(spark, monkeypatch):
+    # the largest singular values are close (12 and 11), so 100 rounds of HITS are too few to converge
+    pairs = [(f"a{i}", f"b{j}") for i in range(3) for j in range(4)] + [("c", f"d{j}") for j in range(11)]
+    want_hits, want_rank = K.hits(K.adjacency(pairs)), K.page_rank(K.adjacency(pairs))
+    assert want_hits["c"][0] < 1e-8 and want_hits["d0"][1] < 1e-8 and sum(want_rank.values()) == pytest.approx(1)
+    edges = spark.createDataFrame(pairs, "from string, to string")
+    columns = ("graph__page_rank", "graph__hits__hub_score", "graph__hits__authority_score")
+    # a coarser tolerance ends both forms after the same, few rounds
+    monkeypatch.setattr(K, "TOLERANCE", 0.06, raising=False)
+    kernels = {n: (K.page_rank(K.adjacency(pairs))[n], *K.hits(K.adjacency(pairs))[n]) for n in want_rank}
+    monkeypatch.setattr(graph, "ONE_TASK", 0)
+    got = by_name(graph.ranks(edges, graph.graph_nodes(edges)), *columns)
+    assert got.keys() == kernels.keys() and all(got[n] == pytest.approx(kernels[n], abs=1e-9) for n in got)
