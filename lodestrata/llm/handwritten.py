@@ -1,13 +1,20 @@
 """Source files that nobody wrote by hand in the project: generated, minified, copied in, or data saved as code.
 
-Each file is lexed by the rules of its language, whole. From the tokens come the comments, in which generators and third
-parties leave their marks (a mark inside a string is only mentioned); the share of literals; and a canonical layout with
-one statement a line, whose comparison with the original layout tells minified files (the canonical form has many times
-their lines) and generated ones (statement after statement the same but for a counter).
+Each file is lexed by the rules of its language, whole, and its code is emitted again in a canonical layout: one statement
+a line, blanks between words, around operators and after commas. Held against the original layout,
+
+* a canonical form of many times the lines and blanks marks a minified file;
+* statements that follow one another in perfect uniformity, the same but for counters and names in order, mark a generated
+  one (people vary, and do not sort); the chance that hands would have written them so is put as bits of evidence;
+* literals that take most of the code mark data.
+
+Only where the layout is silent, marks in comments and annotations decide, then folders and names. The text of a third
+party's source looks like anybody's; it is known by the mark at its head or by its folder.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,8 +33,18 @@ SQL = ("sql", "lua", "hs")
 MARKUP = ("md", "txt", "rst", "html", "xml")
 #: Languages of settings, whose lines are all alike by nature.
 SETTINGS = ("yaml", "yml", "toml", "cfg", "ini", "properties", "lock")
-#: Repetitions of a layout from which on nobody typed it.
-UNIFORM = 7
+#: Bits of evidence from which on a stretch of statements was not typed, and its groups; a few are typed like that, too.
+UNIFORM, UNIFORM_GROUPS = 9.0, 7
+#: Bits that a counter going on by the same step gives.
+STEP_BITS = 3.0
+#: Statements of the groups that are held against each other, at most.
+PERIODS = 8
+#: Literals from which on, with their share of the code, a file is data.
+DATA_LITERALS, DATA_SHARE = 60, 0.3
+#: Characters of literals from which on, with their share of the code, a file is data.
+DATA_CHARS, DATA_CHARS_SHARE = 600, 0.8
+#: Statements a line, and share of the canonical blanks, from which on or below which a file of statements is minified.
+MINIFIED_EXPANSION, MINIFIED_BLANKS, MINIFIED_STATEMENTS = 3.0, 0.5, 12
 
 _STRINGS = r"""\"\"\"[\s\S]*?(?:\"\"\"|\Z)|'''[\s\S]*?(?:'''|\Z)|"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?|`(?:\\[\s\S]|[^`\\])*`?"""
 _REST = r"(?P<num>\#[0-9a-fA-F]{3,8}\b|0[xXbB][0-9a-fA-F_]+\w*|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?\w*)|(?P<word>[^\W\d]\w*)|(?P<space>\s+)|(?P<sign>.)"
@@ -91,13 +108,41 @@ MINIFIED_PATH = re.compile(r"\.min\.(?:js|css|mjs)$", re.IGNORECASE)
 class Lexed:
     """What the tokens of a file say."""
 
-    comments: list[tuple[int, str]] = field(default_factory=list)  # code characters before it, its text
-    code: list[str] = field(default_factory=list)  # with strings emptied
+    #: Text of each comment, and whether only the package, imports and the like stand before it.
+    comments: list[tuple[bool, str]] = field(default_factory=list)
+    #: The canonical form: its statements, each a list of tokens; long literals are cut in it.
+    statements: list[list[str]] = field(default_factory=list)
+    code_lines: int = 0
     code_chars: int = 0
     literal_chars: int = 0
     literals: int = 0
-    canonical: list[str] = field(default_factory=list)
-    code_lines: int = 0
+    #: Places inside lines where the canonical form has a blank, and how many of them have one in the original.
+    blanks: int = 0
+    blanks_there: int = 0
+
+    def canonical(self) -> str:
+        """The canonical form as text."""
+        return "\n".join(emitted(x) for x in self.statements)
+
+
+#: Tokens that the canonical form has blanks around, and those it has one after.
+_SPACED = frozenset("= + - * / % < > & | ? : == != <= >= += -= *= /= |= &= && || -> =>".split())
+_AFTER = frozenset(",;")
+
+
+def _blank_between(a: str, b: str) -> bool:
+    """Whether the canonical form has a blank between two tokens."""
+    if a in _AFTER or a in _SPACED or b in _SPACED or b == "{":
+        return True
+    return (a[-1].isalnum() or a[-1] == "_") and (b[0].isalnum() or b[0] in "_\"'")
+
+
+def emitted(tokens: list[str]) -> str:
+    """A statement in canonical layout."""
+    out = tokens[:1]
+    for a, b in zip(tokens, tokens[1:], strict=False):
+        out += [" ", b] if _blank_between(a, b) else [b]
+    return "".join(out)
 
 
 def decode(content: bytes) -> str:
@@ -112,21 +157,45 @@ def decode(content: bytes) -> str:
         return content.decode("cp1252", "replace")
 
 
+_HEAD = re.compile(r"(?:import|using|use|package|namespace|include|require|from|module)\b")
+
+
 def lex(text: str, ending: str) -> Lexed:
-    out, statement, depth = Lexed(), [], 0
+    """The tokens of a text, and its canonical form.
+
+    A statement ends at ``;``, at braces, and at a line's end outside of parentheses.
+    """
+    out = Lexed()
+    statement: list[str] = []
+    depth, head, spaced = 0, True, False
     lines_with_code, line = set(), 0
+
+    def end() -> None:
+        nonlocal statement, head
+        if statement:
+            out.statements.append(statement)
+            if head and not _HEAD.match(statement[0]):
+                head = len(statement) == 1 and not statement[0][0].isalnum() or statement[0] in ("<", "?", "php")
+            statement = []
+
     for m in LEXERS.get(ending, PLAIN).finditer(text):
         kind, s = m.lastgroup, m.group()
         if kind == "space":
-            line += s.count("\n")
-            out.code.append("\n" if "\n" in s else " ")
-            if statement and statement[-1] != " ":
-                statement.append(" ")
+            breaks = s.count("\n")
+            line += breaks
+            spaced = True
+            if breaks and not depth:
+                end()
             continue
         if kind == "comment":
-            out.comments.append((out.code_chars, s))
+            out.comments.append((head and not statement, s))
             line += s.count("\n")
+            spaced = True
             continue
+        if statement and line in lines_with_code and _blank_between(statement[-1], s):
+            out.blanks += 1
+            out.blanks_there += spaced
+        spaced = False
         lines_with_code.add(line)
         line += s.count("\n")
         size = len(s)
@@ -136,20 +205,19 @@ def lex(text: str, ending: str) -> Lexed:
             if kind == "num" or size <= 16 or s.count(" ") * 24 < size:
                 out.literal_chars += size
                 out.literals += 1
-            statement.append("0" if kind == "num" and not s.startswith("#") else s if size < 40 else s[:40])
-            out.code.append(s if kind == "num" else '""')
+            statement.append(s if size < 40 else s[:39] + s[-1])
             continue
-        out.code.append(s)
         statement.append(s)
         if s in "([":
             depth += 1
         elif s in ")]":
             depth = max(0, depth - 1)
-        elif s in ";{}" and (depth == 0 or s != ";"):
-            out.canonical.append("".join(statement).strip())
-            statement, depth = [], depth if s == ";" else 0
-    if statement:
-        out.canonical.append("".join(statement).strip())
+        elif s in "{}":
+            depth = 0
+            end()
+        elif s == ";" and not depth:
+            end()
+    end()
     out.code_lines = len(lines_with_code)
     return out
 
@@ -168,60 +236,115 @@ def _own(name: str, path: str) -> bool:
     return bool(set(re.split(r"[\W_]+", name.lower())) & set(filter(None, project)))
 
 
-_PIECES = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
-_BLANK = re.compile(r"^\s*(?:(?:import|using|use|package|namespace|include|require)\b|//|/?\*|#|--|[{}()\[\];]*\s*$)")
+_PIECES = re.compile(r"0[xX][0-9a-fA-F]+|\d+|[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[^\W\d_]+|[^\w\s]|_")
+_NO_PIECE = re.compile(r"(?:import|using|use|package|namespace|include|require)\b|[{}()\[\];\s]*$")
+_WORD, _NUMBER = "w", "n"
 
 
-def _next_of(a: list[str], b: list[str]) -> bool:
-    """Whether line ``b`` is line ``a`` gone on: the same but for counters one step on, and names that follow in order."""
-    if len(a) != len(b):
-        return False
-    other = [(x, y) for x, y in zip(a, b, strict=True) if x != y]
-    numbers = [(int(x), int(y)) for x, y in other if x.isdecimal() and y.isdecimal()]
-    words = [(x.lower(), y.lower()) for x, y in other if x.isalpha() and y.isalpha()]
-    if not other or len(numbers) + len(words) < len(other):
-        return False
-    if any(y - x != 1 and y != 2 * x for x, y in numbers):
-        return False
-    return len(set(words)) <= 1 if numbers else words[0][0] < words[0][1]
+def _pieces(statement: list[str]) -> tuple[str, list[str]] | None:
+    """The kinds of the pieces of a statement as one text, and the pieces; None for what people repeat, too."""
+    text = emitted(statement)
+    if _NO_PIECE.match(text):
+        return None
+    pieces = _PIECES.findall(text)
+    return "".join([_WORD if x[0].isalpha() else _NUMBER if x[0].isdigit() else x for x in pieces]), pieces
 
 
-def uniform_run(text: str) -> int:
-    """The longest stretch in which groups of one to four lines repeat the group before in its layout, gone on in order.
+def _number(x: str) -> int:
+    if not x.isascii():
+        return 0  # digits of other scripts count nothing
+    return int(x, 16) if x[:2] in ("0x", "0X") else int(x[:18])
 
-    People vary, and do not sort; a generator counts, or goes through a sorted list.
+
+def uniformity(statements: list[list[str]]) -> float:
+    """Bits of evidence that the most uniform stretch of statements was not typed.
+
+    Groups of one to PERIODS statements are held against the group before. A stretch goes on while all statements have the
+    same layout, numbers go on by the same step (or double), and names are the same but for one, which comes later in the
+    alphabet each time. That k names come in order by chance has log2(k!) bits; each step of counters has STEP_BITS.
+    Stretches of fewer than UNIFORM_GROUPS groups are none.
     """
-    rows = [_PIECES.findall(x[:400]) for x in text.splitlines() if not _BLANK.match(x)]
-    best = 0
-    for period in (1, 2, 3, 4):
-        run = 0
-        for a, b in zip(rows, rows[period:], strict=False):
-            run = run + 1 if _next_of(a, b) else 0
-            best = max(best, (run + period) // period if run else 0)
+    rows = [x for x in map(_pieces, statements) if x]
+    ids: dict[str, int] = {}
+    shapes = [ids.setdefault(k, len(ids)) for k, _ in rows]
+    best = 0.0
+    for period in range(1, min(PERIODS, len(rows) // 2) + 1):
+        equal = [x == y for x, y in zip(shapes, shapes[period:], strict=False)]
+        at = 0
+        while at < len(equal):
+            if not equal[at]:
+                at += 1
+                continue
+            end = at
+            while end < len(equal) and equal[end]:
+                end += 1
+            for first in range(at, min(at + period, end)):
+                best = max(best, _gone_on([p for _, p in rows[first : end + period]], period))
+            at = end
+    return best
+
+
+def _gone_on(rows: list[list[str]], period: int) -> float:
+    """The most bits of a stretch of whole groups; see :func:`uniformity`."""
+    groups = [[x for row in rows[i : i + period] for x in row] for i in range(0, len(rows) - period + 1, period)]
+    best = bits = 0.0
+    size, last = 1, {}
+    for a, b in zip(groups, groups[1:], strict=False):
+        steps, words, good = {}, {}, True
+        for i, (x, y) in enumerate(zip(a, b, strict=True)):
+            if x == y:
+                continue
+            if x[0].isdigit() and y[0].isdigit():
+                m, n = _number(x), _number(y)
+                # the first step sets it; a double may begin at one
+                steps[i] = n - m
+                good &= n == 2 * m > 0 or (last[i] == n - m if i in last else n > m)
+            else:
+                pair = (x.lower(), y.lower())
+                words[pair] = words.get(pair, 0) + 1
+        key, times = max(words.items(), key=lambda e: e[1], default=(None, 0))
+        ordered = times > 0 and key[0] < key[1] and (len(words) == 1 or times > 1 and sum(words.values()) - times < 2)
+        if not (good and steps and len(words) < 3 or not steps and ordered):
+            bits, size, last = 0.0, 1, {}
+            continue
+        size += 1
+        bits += (STEP_BITS if steps else 0.0) + (math.log2(size) if ordered else 0.0)
+        last = steps
+        if size >= UNIFORM_GROUPS:
+            best = max(best, bits)
     return best
 
 
+def by_layout(seen: Lexed, ending: str) -> str | None:
+    """What the literals and the canonical form say."""
+    if ending in MARKUP or not seen.code_chars:
+        return None
+    share = seen.literal_chars / seen.code_chars
+    if (seen.literals >= DATA_LITERALS and share >= DATA_SHARE) or (seen.literal_chars >= DATA_CHARS and share >= DATA_CHARS_SHARE):
+        return "data: literals"
+    statements = len(seen.statements)
+    expansion, there = statements / max(1, seen.code_lines), seen.blanks_there / max(1, seen.blanks)
+    if statements >= MINIFIED_STATEMENTS and expansion >= MINIFIED_EXPANSION and there <= MINIFIED_BLANKS:
+        return "minified: layout"
+    if ending not in SETTINGS and uniformity(seen.statements) >= UNIFORM:
+        return "generated: layout"
+    return None
+
+
 def _by_content(path: str, text: str) -> str | None:
     """What the tokens, the layout and the comments of a file say."""
     ending = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
     seen = lex(text, ending)
-    if ending not in MARKUP and seen.code_chars >= 200:
-        share = seen.literal_chars / seen.code_chars
-        if (seen.literals >= 60 and share >= 0.3) or (seen.literal_chars >= 600 and share >= 0.8):
-            return "data: literals"
-        expansion, width = len(seen.canonical) / max(1, seen.code_lines), seen.code_chars / max(1, seen.code_lines)
-        if width >= 200 and expansion >= 5:
-            return "minified: layout"
-        if ending not in SETTINGS and uniform_run(text) >= UNIFORM:
-            return "generated: layout"
-    for before, comment in seen.comments:
+    if found := by_layout(seen, ending):
+        return found
+    for head, comment in seen.comments:
         for x in _comment_lines(comment):
             if GENERATED.search(x):
                 return "generated: comment"
-            m = THIRD_PARTY.search(x) if before < 200 else None
+            m = THIRD_PARTY.search(x) if head else None
             if m and not _own(next(filter(None, m.groups()), ""), path):
                 return "third party: comment"
-    if ending not in MARKUP and ANNOTATION.search("".join(seen.code)):
+    if ending not in MARKUP and ANNOTATION.search("".join(t if t[0] not in "\"'`" else '""' for x in seen.statements for t in x)):
         return "generated: annotation"
     return None
 

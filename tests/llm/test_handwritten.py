@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
-from lodestrata.llm.handwritten import named_files, not_handwritten, reason
+from lodestrata.llm.handwritten import UNIFORM, lex, named_files, not_handwritten, reason, uniformity
 
 CODE = "package a.b;\n\nimport x.y.Z;\n\npublic class Thing {\n" + "".join(f"    void call{c}(Foo bar) {{\n        bar.go({i});\n    }}\n" for i, c in enumerate("ABCDEF")) + "}\n"
 ACCESSORS = "class P {\n" + "".join(f"    public int getField{i}() {{ return this.f_{i}_; }}\n    public void setField{i}(int v) {{ this.f_{i}_ = v; bits |= 0x1; }}\n" for i in range(12)) + "}\n"
@@ -67,3 +69,70 @@ def test_frames(spark):
     got = {r["path"]: (r["commit_rows"], r["snippet_rows"]) for r in named_files(parts, snips, files).collect()}
     assert got == {"p/a_pb2.py": (2, 1), "gone/vendor/x/y.js": (1, 0)}
     assert not_handwritten(files.limit(0)).count() == 0
+
+
+def test_canonical_form():
+    seen = lex("package a;  // x\nint  f(int a,int b){return a+b;}\n\n/* y */ String s=\"a;b\";", "java")
+    assert seen.canonical().split("\n") == ["package a;", "int f(int a, int b) {", "return a + b;", "}", 'String s = "a;b";']
+    assert [h for h, _ in seen.comments] == [True, False] and seen.code_lines == 3
+    assert lex("a = 1\nb = f(1,\n  2)\n", "py").canonical() == "a = 1\nb = f(1, 2)"
+
+
+def wrapped(text, width):
+    """``text`` with line ends after ``;`` and braces, once a line has ``width`` characters."""
+    out, line = [], ""
+    for c in text:
+        line += c
+        if len(line) >= width and c in ";{}":
+            out.append(line)
+            line = ""
+    return "\n".join([*out, line])
+
+
+@pytest.mark.parametrize("width", [80, 150, 400, 10_000])
+def test_minified_at_any_width(width):
+    assert reason("p/web/a.js", wrapped(MINIFIED, width).encode()) == "minified: layout"
+
+
+def test_layout_of_long_lines_counts_to_their_end():
+    head = "x" * 500
+    counting = "".join(f"call({head}, {i});\n" for i in range(12))
+    rng = random.Random(2)
+    free = "".join(f"call({head}, {rng.randrange(10**6)}, {rng.choice('abcdef')}{rng.randrange(99)});\n" for i in range(12))
+    assert reason("p/a.java", counting.encode()) == "generated: layout" and reason("p/a.java", free.encode()) is None
+
+
+def test_marks_of_third_parties_count_at_the_head_only_however_long_it_is():
+    head = "package a.b;\n" + "".join(f"import x.y{i}.Thing{i};\n" for i in range(60))
+    mark = "/* grid v1.2.3 | (c) 2020 grid contributors | MIT License */\n"
+    assert reason("p/A.java", (head + mark + CODE.split("\n", 4)[4]).encode()) == "third party: comment"
+    assert reason("p/A.java", (CODE + mark).encode()) is None
+
+
+def statements(lines):
+    return lex("\n".join(lines), "java").statements
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_names_in_order_are_evidence_names_out_of_order_are_none(seed):
+    rng = random.Random(seed)
+    names = sorted({"".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(10)})
+    block = lambda ns: [x for n in ns for x in (f"int {n};", f"boolean has_{n};")]
+    assert uniformity(statements(block(names))) >= UNIFORM
+    shuffled = names[1::2] + names[::2][::-1]
+    assert uniformity(statements(block(shuffled))) < UNIFORM
+    steps = [f"if (tag == {2 + 8 * i}) {{ this.{n} = read(); mask |= {1 << i}; }}" for i, n in enumerate(names)]
+    assert uniformity(statements(steps)) > 2 * UNIFORM
+    assert uniformity(statements([f"set({rng.randrange(1000)});" for _ in range(40)])) < UNIFORM
+
+
+def test_most_is_seen_in_the_layout(spark):
+    """Comments, annotations and paths are the last resort: most generated, minified and data files are known without them."""
+    files = spark.read.parquet("/root/testdata/sf0.1/source_files.parquet")
+    found = [r["reason"] for r in not_handwritten(files).collect() if not r["reason"].startswith("third party")]
+    assert sum(r.endswith(("layout", "literals")) for r in found) >= 0.8 * len(found)
+
+
+def test_odd_contents():
+    for text in ("\x00\x01", "{", "}" * 5000, "(" * 5000, '"' * 4001, "x" * 200_000, "١ ٢ ٣\n" * 50, "/*", "0x" * 50, "case １: a;\ncase ２: b;\n" * 9):
+        reason("p/a.java", text.encode())
