@@ -8,8 +8,9 @@ order no longer matters then: a name is the sorted tuple of its tokens.
 
 Signatures of one such name are one person if they share a company's domain; the same name at two companies is two people.
 Signatures without a company (no address, a free mailbox, a hidden or shared address) join the only person of that name, or
-of several the only one who mostly works in the same repository. An address links its signatures unless people of three
-different names or more use it. Groups are the connected components.
+of several the only one who mostly works in the same repository. An address links its signatures; where three names or more
+use it, those that hold the token which most of them share, and none if there is no such token. Groups are the connected
+components.
 """
 
 from __future__ import annotations
@@ -47,10 +48,12 @@ NICKNAMES = {
     "ted": "theodore", "theo": "theodore", "teddy": "theodore", "tom": "thomas", "tommy": "thomas", "tilly": "tilda", "steve": "stephen steven",
     "tony": "anthony antonio", "jim": "james", "joe": "joseph", "dave": "david", "ed": "edward", "matt": "matthew", "pete": "peter",
 }
-#: Names per address from which on it is shared.
+#: Names per address from which on it is only theirs who share a token.
 SHARED = 3
-#: Shortest token that may hold an edit.
+#: Letters from which on a token may hold an edit on its own; of a shorter one the whole name has to exist without the edit.
 SHORTEST = 4
+#: Words of one trie, at most.
+TRIE_WORDS = 4096
 _LETTERS = {"ł": "l", "ø": "o", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "ð": "d", "þ": "th", "ı": "i", "ħ": "h"}
 _HOST = re.compile(r"^(?:ws|pc|host|build|mail|smtp|mx|laptop|desktop|dev|vpn|node|srv)[-\d]*\.(?=[^.]+\.)")
 _HIDDEN = re.compile(r"no-?reply|localhost|localdomain|\.local$|\.invalid$|(?:^|\.)none$")
@@ -148,28 +151,37 @@ class Trie:
                     stack.append((child, tuple(new), row, c))
 
 
-def near_words(words: DataFrame) -> DataFrame:
+def near_words(words: DataFrame, trie_words: int = TRIE_WORDS) -> DataFrame:
     """``a, b`` of all pairs of different words of ``words`` (column ``word``, distinct) one edit apart, both ways.
 
     One edit leaves the first or the last (m-1)//2 letters of both words alone, m being the shorter length. So a word
-    goes to four tries: for the pairs with one letter less and with as many or one more, by its beginning and by its end. The
-    tries grow with the vocabulary, not with the rows. Words of fewer than SHORTEST letters have no neighbours.
+    goes to four tries: for the pairs with one letter less and with as many or one more, by its beginning and by its end.
+    Where more than ``trie_words`` words meet under one key (domains that all end alike), they go to tries by what is left of
+    them without one of their letters instead: words one edit apart have such a rest in common, and at most as many words
+    as there are letters times places share one. So no trie and no row grows with the vocabulary, and no pair is lost.
     """
     n = F.length("word")
     keys = []
     for m in (n - 1, n):
-        piece = F.floor((m - 1) / 2).cast("int")
+        piece = F.greatest(F.floor((m - 1) / 2), F.lit(0)).cast("int")
         keys += [
             F.concat_ws(":", m.cast("string"), F.lit("begin"), F.expr("word").substr(F.lit(1), piece)),
             F.concat_ws(":", m.cast("string"), F.lit("end"), F.expr("word").substr(n - piece + 1, piece)),
         ]
-    shards = (
-        words.where(n >= SHORTEST)
-        .select("word", F.explode(F.array(*keys)).alias("shard"))
-        .groupBy("shard")
-        .agg(F.collect_list("word").alias("words"))
-        .where(F.size("words") > 1)
-    )
+    keyed = words.where(n > 0).select("word", F.explode(F.array(*keys)).alias("shard"))
+    sizes = keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    # one row per key that several words have
+    sizes = checkpointed(sizes)
+    small = keyed.join(sizes.where(F.col("n") <= trie_words).select("shard"), "shard", "left_semi")
+    shards = small
+    if not sizes.where(F.col("n") > trie_words).isEmpty():
+        hot = keyed.join(sizes.where(F.col("n") > trie_words).select("shard"), "shard", "left_semi").select("word").distinct()
+        rest = F.transform(
+            F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("rest:"), F.expr("word").substr(F.lit(1), i - 1), F.expr("word").substr(i + 1, n))
+        )
+        itself = F.array(F.concat(F.lit("rest:"), F.col("word")))
+        shards = small.unionByName(hot.select("word", F.explode(F.array_distinct(F.concat(rest, itself))).alias("shard")))
+    shards = shards.groupBy("shard").agg(F.collect_list("word").alias("words")).where(F.size("words") > 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,8 +198,10 @@ def near_words(words: DataFrame) -> DataFrame:
     return shards.mapInArrow(run, "a string, b string").distinct()
 
 
-def _corrections(weights: DataFrame) -> DataFrame:
-    """``word, right`` of the words that are misspelt. ``weights``: ``word, weight, attested``.
+def _corrections(weights: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``word, right`` of the words that are misspelt, and ``word, other`` of the short ones that may be.
+
+    ``weights``: ``word, weight, attested``.
 
     A word that is attested stays. Another becomes its neighbour that is attested, else one at least eight times, or at
     weight one or two just more, frequent; of several the attested, the most frequent, the first in the alphabet.
@@ -196,21 +210,20 @@ def _corrections(weights: DataFrame) -> DataFrame:
     better = (F.col("t.attested") > 0) | (
         (F.col("t.weight") >= 8 * F.col("f.weight")) | ((F.col("f.weight") <= 2) & (F.col("t.weight") > F.col("f.weight")))
     )
-    best = F.max_by(
-        F.col("t.word"),
-        F.struct(
-            (F.col("t.attested") > 0), F.col("t.weight"), F.reverse(F.transform(F.split("t.word", ""), lambda c: -F.ascii(c)))
-        ),
-    )
-    return (
+    near = (
         near_words(weights.select("word"))
         .join(from_, F.col("a") == F.col("f.word"))
         .where(F.col("f.attested") == 0)
         .join(to, F.col("b") == F.col("t.word"))
         .where(better)
-        .groupBy(F.col("f.word").alias("word"))
-        .agg(best.alias("right"))
     )
+    near = checkpointed(near.select(F.col("f.word").alias("word"), F.col("t.word").alias("other"), F.col("t.weight").alias("weight"), F.col("t.attested").alias("attested")))
+    long = (F.length("word") >= SHORTEST) & (F.length("other") >= SHORTEST)
+    best = F.max_by(
+        F.col("other"),
+        F.struct((F.col("attested") > 0), F.col("weight"), F.reverse(F.transform(F.split("other", ""), lambda c: -F.ascii(c)))),
+    )
+    return near.where(long).groupBy("word").agg(best.alias("right")), near.where(~long).select("word", "other")
 
 
 def _stars(rows: DataFrame, *key: str) -> DataFrame:
@@ -238,13 +251,14 @@ def signatures(identities: DataFrame, uses: DataFrame) -> DataFrame:
         .groupBy("word")
         .agg(F.count(F.lit(1)).alias("weight"), F.sum(F.array_contains("attested", F.col("word")).cast("int")).alias("attested"))
     )
-    words = _corrections(weights)
-    domains = _corrections(
+    words, short = _corrections(weights)
+    domains, _ = _corrections(
         feats.where(~F.col("hidden"))
         .groupBy(F.col("domain").alias("word"))
         .agg(F.count(F.lit(1)).alias("weight"))
         .withColumn("attested", F.lit(0))
-    ).select(F.col("word").alias("domain"), F.col("right").alias("right_domain"))
+    )
+    domains = domains.select(F.col("word").alias("domain"), F.col("right").alias("right_domain"))
     named = (
         feats.select("id", F.explode("tokens").alias("word"))
         .join(words, "word", "left")
@@ -263,7 +277,26 @@ def signatures(identities: DataFrame, uses: DataFrame) -> DataFrame:
             "home",
         )
     )
-    return checkpointed(_without_nicknames(out))
+    return checkpointed(_without_nicknames(_as_existing(out, short)))
+
+
+def _as_existing(rows: DataFrame, short: DataFrame) -> DataFrame:
+    """Names with a short token (``short``: ``word, other``) become the only more frequent name that has the other one."""
+    names = rows.where(F.col("name").isNotNull()).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.split("name", " ")
+    known = names.select(F.col("name").alias("right"), F.col("n").alias("m"))
+    cand = (
+        names.select("name", "n", parts.alias("parts"), F.explode(parts).alias("word"))
+        .join(short, "word")
+        .select("name", "n", F.array_join(F.array_sort(F.array_union(F.array_remove("parts", F.col("word")), F.array("other"))), " ").alias("right"))
+        .join(known, "right")
+        .where(F.col("m") > F.col("n"))
+        .groupBy("name")
+        .agg(F.min("right").alias("right"), F.count_distinct("right").alias("k"))
+        .where(F.col("k") == 1)
+        .select("name", "right")
+    )
+    return rows.join(cand, "name", "left").withColumn("name", F.coalesce("right", "name")).drop("right")
 
 
 def _without_nicknames(rows: DataFrame) -> DataFrame:
@@ -295,22 +328,45 @@ def link(identities: DataFrame, uses: DataFrame) -> DataFrame:
 
     # addresses that are one person's
     mail = sigs.where(F.col("domain").isNotNull()).select("id", F.concat_ws("@", "local", "domain").alias("mail"), "name")
-    shared = mail.groupBy("mail").agg(F.count_distinct("name").alias("k")).where(F.col("k") >= SHARED).select("mail", F.lit(True).alias("is_shared"))
-    mail = mail.join(shared, "mail", "left").where(F.col("is_shared").isNull())
+    used = mail.where(F.col("name").isNotNull()).select("mail", "name").distinct()
+    names_of = used.groupBy("mail").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= SHARED)
+    # the token that most of the names share; a sum per address and token, so a shared mailbox is no group of names
+    theirs = (
+        used.join(names_of, "mail")
+        .select("mail", "k", F.explode(F.split("name", " ")).alias("token"))
+        .groupBy("mail", "k", "token")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") * 2 > F.col("k"))
+        .groupBy("mail")
+        .agg(F.max_by("token", F.struct("n", "token")).alias("token"))
+    )
+    mail = (
+        mail.join(names_of, "mail", "left")
+        .join(theirs, "mail", "left")
+        .where(F.col("k").isNull() | (F.col("token").isNotNull() & (F.col("name").isNull() | F.array_contains(F.split("name", " "), F.col("token")))))
+    )
 
-    # mailboxes anybody can have: most of their names are also, in the same repository, at one of many other domains
+    # Mailboxes anybody can have: most of their names are also, in the same repository, at another domain, and no other
+    # domain stands out. Of a name's other domains one stands for all, so that nothing is paired.
     full = sigs.where(F.col("name").isNotNull())
     at = full.where(~F.col("hidden")).select("name", "home", "domain").distinct()
-    other = at.select("name", "home", F.col("domain").alias("other"))
+    ends = at.groupBy(F.col("name").alias("e_name"), F.col("home").alias("e_home")).agg(F.min("domain").alias("first"), F.max("domain").alias("last"))
+    other = F.when(F.col("domain") != F.col("first"), F.col("first")).when(F.col("domain") != F.col("last"), F.col("last"))
+    elsewhere = (
+        at.where(F.col("home").isNotNull())
+        .join(ends, (F.col("name") == F.col("e_name")) & (F.col("home") == F.col("e_home")))
+        .groupBy("domain", other.alias("other"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    # with two more of the first kind and two more of the others, so that few names tell nothing
     open_domains = (
-        at.join(other, ["name", "home"])
-        .groupBy("domain")
+        elsewhere.groupBy("domain")
         .agg(
-            F.count_distinct("name").alias("names"),
-            F.count_distinct(F.when(F.col("other") != F.col("domain"), F.col("name"))).alias("elsewhere"),
-            F.count_distinct("other").alias("others"),
+            F.sum("n").alias("names"),
+            F.coalesce(F.sum(F.when(F.col("other").isNotNull(), F.col("n"))), F.lit(0)).alias("elsewhere"),
+            F.coalesce(F.max(F.when(F.col("other").isNotNull(), F.col("n"))), F.lit(0)).alias("top"),
         )
-        .where((F.col("elsewhere") * 2 >= F.col("names")) & (F.col("others") > 5))
+        .where((F.col("elsewhere") * 2 >= F.col("names")) & ((F.col("top") + 2) * 3 < F.col("elsewhere") + 4))
         .select("domain", F.lit(True).alias("is_open"))
     )
     full = (
@@ -325,7 +381,7 @@ def link(identities: DataFrame, uses: DataFrame) -> DataFrame:
         _stars(full.where(F.col("company").isNotNull()).select("id", "name", "company"), "name", "company")
     )
     edges = checkpointed(edges)
-    labels = connected(edges)
+    labels = connected(edges, one_task=0)
     placed = full.join(labels, full["id"] == labels["node"], "left").select(
         "id", "name", "company", "home", F.coalesce("label", "id").alias("group")
     )
@@ -355,7 +411,7 @@ def link(identities: DataFrame, uses: DataFrame) -> DataFrame:
         .where(F.col("v") == F.col("w"))
         .select("u", "v")
     )
-    final = connected(edges.union(joins))
+    final = connected(edges.union(joins), one_task=0)
     return (
         identities.select("id")
         .where(F.col("id").isNotNull())
