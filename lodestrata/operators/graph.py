@@ -1,9 +1,10 @@
 """The component graph: reachability, paths, cycles, groups and centralities.
 
 A graph of components falls into islands (code bases that never import each other), found by distributed connected
-components. Islands up to ``LARGEST`` nodes are handled as one task each by the kernels, all islands in parallel. Larger ones go
-through level-by-level searches over DataFrames: :func:`distances_by_level`, from which closeness, reachability and strong
-components follow, and the functions that end in ``_by_level`` for paths, cycles and betweenness, with the same results.
+components. An island up to ``LARGEST`` edges goes to the kernels whole, its sources spread over as many tasks as its pairs
+need; so no task holds more than the edges of an island and a bounded number of rows. Larger ones go through level-by-level
+searches over DataFrames: :func:`distances_by_level`, from which closeness and reachability follow, and the functions that
+end in ``_by_level``, with the same results. Strong groups take linear time in a task, or colours passed along the edges.
 Communities are found by one task per island of any size.
 """
 
@@ -12,15 +13,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.operators import graph_kernels as K
 from lodestrata.operators.components import connected
 from lodestrata.session import checkpointed
 
-#: Nodes of the largest island that a kernel takes.
-LARGEST = 20_000
+#: Edges of the largest island that a kernel takes, at about two hundred bytes each.
+LARGEST = 1_000_000
+#: Pairs of nodes of an island that one task goes through.
+PAIRS = 500_000
 #: Edges of the largest graph whose ranks are computed in one task.
 ONE_TASK = 1_000_000
 
@@ -37,31 +40,34 @@ def graph_nodes(edges: DataFrame, components: DataFrame | None = None) -> DataFr
 
 
 def islands(edges: DataFrame) -> DataFrame:
-    """``from, to, island, nodes``: each edge with the smallest node of its island and the number of the island's nodes."""
+    """``from, to, island, nodes, edges``: each edge with the smallest node of its island, and the nodes and edges of that."""
     labels = connected(edges.select(F.col("from").alias("u"), F.col("to").alias("v")))
-    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("nodes"))
-    known = labels.join(sizes, "label").select("node", F.col("label").alias("island"), "nodes")
-    return edges.join(known, edges["from"] == known["node"]).select("from", "to", "island", "nodes")
+    known = checkpointed(edges.join(labels, edges["from"] == labels["node"]).select("from", "to", F.col("label").alias("island")))
+    nodes = labels.groupBy(F.col("label").alias("island")).agg(F.count(F.lit(1)).alias("nodes"))
+    sizes = known.groupBy("island").agg(F.count(F.lit(1)).alias("edges")).join(nodes, "island")
+    return known.join(sizes, "island").select("from", "to", "island", "nodes", "edges")
 
 
 def parted(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Edges of the islands that a kernel takes, with their ``island``; and ``from, to`` of the larger ones, None without such."""
     grouped = edges if "island" in edges.columns else checkpointed(islands(edges))
-    large = grouped.where(F.col("nodes") > LARGEST).select("from", "to")
-    return (grouped, None) if large.isEmpty() else (grouped.where(F.col("nodes") <= LARGEST), checkpointed(large))
+    large = grouped.where(F.col("edges") > LARGEST).select("from", "to")
+    return (grouped, None) if large.isEmpty() else (grouped.where(F.col("edges") <= LARGEST), checkpointed(large))
 
 
 def per_graph(
     edges: DataFrame,
-    kernel: Callable[[K.Adjacency], list[tuple]],
+    kernel: Callable[..., list[tuple]],
     schema: str,
     group: str | None = None,
     joined: Callable[[DataFrame], DataFrame] | None = None,
+    spread: bool = False,
 ) -> DataFrame:
     """The rows of ``kernel`` for each island of ``edges``, or for each value of the column ``group``.
 
-    ``joined`` gives the same rows from the edges of all islands beyond LARGEST nodes; without it a kernel takes any size.
-    Edges that come with their ``island`` already are not searched for islands again.
+    ``joined`` gives the same rows from the edges of all islands beyond LARGEST; without it a kernel takes any size. With
+    ``spread`` the kernel is called with the graph and some of its nodes at a time, in as many tasks as PAIRS asks for, and its
+    rows are those of these nodes. Edges that come with their ``island`` already are not searched for islands again.
     """
     large = None
     if group:
@@ -70,22 +76,40 @@ def per_graph(
         grouped, large = parted(edges)
     else:
         grouped = edges if "island" in edges.columns else islands(edges)
-    grouped = grouped.select("from", "to", "island")
+    parts = F.least("nodes", F.ceil(F.col("nodes") * F.col("nodes") / PAIRS)).cast("int") if spread else F.lit(1)
+    grouped = grouped.select("from", "to", "island", parts.alias("parts")).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     names = [x.split()[0] for x in schema.split(", ")]
     kind = next(f.dataType.simpleString() for f in grouped.schema.fields if f.name == "island")
     full = (f"{group} {kind}, " if group else "") + schema
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = kernel(K.adjacency(list(zip(pdf["from"], pdf["to"], strict=True))))
+        adj = K.adjacency(list(zip(pdf["from"], pdf["to"], strict=True)))
+        rows = kernel(adj, list(adj)[int(pdf["part"].iloc[0]) :: int(pdf["parts"].iloc[0])]) if spread else kernel(adj)
         out = pd.DataFrame(rows, columns=names)
         if group:
             out.insert(0, group, pdf["island"].iloc[0])
         return out
 
-    rows = grouped.groupBy("island").applyInPandas(run, full)
+    rows = grouped.groupBy("island", "part").applyInPandas(run, full)
     return rows if large is None else rows.unionByName(joined(large))
 
 
+def in_order(df: DataFrame, key: str, name: str, first: int = 0) -> DataFrame:
+    """``df`` with the place ``name`` of each row in the order of ``key``, from ``first`` on.
+
+    Rows are sorted by ranges, so no task has them all; of each range its number of rows goes to the driver.
+    """
+    rows = checkpointed(df.orderBy(key).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")))
+    sizes = sorted((r["_part"], r["n"]) for r in rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
+    starts, total = [], first
+    for part, n in sizes:
+        starts += [F.lit(part), F.lit(total)]
+        total += n
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    start = F.create_map(*starts)[F.col("_part")] if starts else F.lit(0)
+    return rows.select(*df.columns, (start + inside).cast("long").alias(name))
+
+
 def predecessors(edges: DataFrame) -> DataFrame:
     """``name, predecessor`` of direct edges."""
     return edges.select(F.col("to").alias("name"), F.col("from").alias("predecessor"))
@@ -99,14 +123,14 @@ def successors(edges: DataFrame) -> DataFrame:
 def distances(edges: DataFrame) -> DataFrame:
     """``src, dst, distance, ways`` of all reachable ordered pairs of different nodes; ``ways`` counts shortest paths."""
 
-    def kernel(adj: K.Adjacency) -> list[tuple]:
+    def kernel(adj: K.Adjacency, sources: list[str]) -> list[tuple]:
         out = []
-        for s in adj:
+        for s in sources:
             dist, ways, _ = K.shortest_from(adj, s)
             out += [(s, t, d, ways[t]) for t, d in dist.items() if t != s]
         return out
 
-    return per_graph(edges, kernel, "src string, dst string, distance long, ways long", joined=distances_by_level)
+    return per_graph(edges, kernel, "src string, dst string, distance long, ways long", joined=distances_by_level, spread=True)
 
 
 def distances_by_level(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
@@ -181,30 +205,76 @@ def closeness(dist: DataFrame) -> DataFrame:
     )
 
 
-def strong_groups(dist: DataFrame, nodes: DataFrame) -> DataFrame:
+def strong_groups(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``component, group, group_size``: strongly connected groups, singles included.
 
     Two nodes are in one group if each reaches the other. Groups are numbered from 0 by their smallest member.
     """
-    back = dist.select(F.col("src").alias("b_src"), F.col("dst").alias("b_dst"))
-    mutual = dist.join(back, (F.col("src") == F.col("b_dst")) & (F.col("dst") == F.col("b_src"))).groupBy("src").agg(
-        F.min("dst").alias("least"), F.count(F.lit(1)).alias("others")
-    )
-    named = nodes.join(mutual, nodes["name"] == mutual["src"], "left").select(
-        "name", F.least("name", F.coalesce("least", "name")).alias("head"), (F.coalesce("others", F.lit(0)) + 1).alias("group_size")
+
+    def kernel(adj: K.Adjacency) -> list[tuple]:
+        return [(n, g[0], len(g)) for g in K.strong_components(adj) for n in g]
+
+    def joined(large: DataFrame) -> DataFrame:
+        heads = strong_heads(large)
+        sizes = heads.groupBy("head").agg(F.count(F.lit(1)).alias("group_size"))
+        return heads.join(sizes, "head").select("member", "head", "group_size")
+
+    found = per_graph(edges, kernel, "member string, head string, group_size long", joined=joined)
+    named = nodes.join(found, nodes["name"] == found["member"], "left").select(
+        "name", F.coalesce("head", "name").alias("head"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size")
     )
-    # heads are numbered in order; one row per group goes through the window
-    heads = named.select("head").distinct().select("head", (F.row_number().over(Window.orderBy("head")) - 1).cast("long").alias("group"))
-    return named.join(heads, "head").select(F.col("name").alias("component"), "group", F.col("group_size").cast("long").alias("group_size"))
+    heads = in_order(named.select("head").distinct(), "head", "group")
+    return named.join(heads, "head").select(F.col("name").alias("component"), "group", "group_size")
+
+
+def strong_heads(edges: DataFrame) -> DataFrame:
+    """``member, head`` (the smallest member of its group) for graphs of any size, by colours.
+
+    Each node takes the smallest node that reaches it as its colour; what reaches that node inside its colour is its group. The
+    groups found are taken out, and the rest is coloured again. Each step along the edges is a join, checkpointed.
+    """
+    edges = checkpointed(edges.select("from", "to"))
+    found = _none(edges, "member string, head string")
+    rest = graph_nodes(edges)
+    while not edges.isEmpty():
+        colour = checkpointed(rest.select("name", F.col("name").alias("colour")))
+        fresh = colour
+        while True:
+            pushed = fresh.join(edges, F.col("name") == F.col("from")).groupBy(F.col("to").alias("t")).agg(F.min("colour").alias("c"))
+            merged = checkpointed(
+                colour.join(pushed, F.col("name") == F.col("t"), "left").select("name", F.least("colour", "c").alias("colour"), (F.col("c") < F.col("colour")).alias("new"))
+            )
+            fresh = merged.where("new").select("name", "colour")
+            colour = merged.select("name", "colour")
+            if fresh.isEmpty():
+                break
+        inside = edges.join(colour.select(F.col("name").alias("from"), F.col("colour").alias("x")), "from")
+        inside = inside.join(colour.select(F.col("name").alias("to"), F.col("colour").alias("y")), "to").where(F.col("x") == F.col("y"))
+        inside = checkpointed(inside.select("from", "to"))
+        group = checkpointed(colour.where(F.col("name") == F.col("colour")).select(F.col("name").alias("member"), F.col("colour").alias("head")))
+        fresh = group
+        while True:
+            back = inside.join(fresh, F.col("to") == F.col("member")).select(F.col("from").alias("member"), "head").distinct()
+            fresh = checkpointed(back.join(group, "member", "left_anti"))
+            if fresh.isEmpty():
+                break
+            group = checkpointed(group.unionByName(fresh))
+        found = checkpointed(found.unionByName(group))
+        rest = checkpointed(rest.join(group.select(F.col("member").alias("name")), "name", "left_anti"))
+        edges = checkpointed(
+            edges.join(rest.select(F.col("name").alias("from")), "from", "left_semi").join(rest.select(F.col("name").alias("to")), "to", "left_semi").select("from", "to")
+        )
+    return found.unionByName(rest.select(F.col("name").alias("member"), F.col("name").alias("head")))
 
 
 def indirect_connections(edges: DataFrame) -> DataFrame:
     """Every shortest path between every ordered pair: ``from, to, shortest_path_length, shortest_path``; length in nodes."""
 
-    def kernel(adj: K.Adjacency) -> list[tuple]:
-        return [(p[0], p[-1], len(p), " -> ".join(p)) for s in adj for p in K.all_shortest_paths(adj, s)]
+    def kernel(adj: K.Adjacency, sources: list[str]) -> list[tuple]:
+        return [(p[0], p[-1], len(p), " -> ".join(p)) for s in sources for p in K.all_shortest_paths(adj, s)]
 
-    return per_graph(edges, kernel, "from string, to string, shortest_path_length long, shortest_path string", joined=indirect_by_level)
+    schema = "from string, to string, shortest_path_length long, shortest_path string"
+    return per_graph(edges, kernel, schema, joined=indirect_by_level, spread=True)
 
 
 def indirect_by_level(edges: DataFrame) -> DataFrame:
@@ -238,9 +308,9 @@ def indirect_by_level(edges: DataFrame) -> DataFrame:
 def furthest_connections(edges: DataFrame) -> DataFrame:
     """Per component the longest shortest path that begins there; of several the smallest in text order."""
 
-    def kernel(adj: K.Adjacency) -> list[tuple]:
+    def kernel(adj: K.Adjacency, sources: list[str]) -> list[tuple]:
         out = []
-        for s in adj:
+        for s in sources:
             dist, _, before = K.shortest_from(adj, s)
             far = max(dist.values())
             if far:
@@ -253,6 +323,7 @@ def furthest_connections(edges: DataFrame) -> DataFrame:
         kernel,
         "component string, furthest_component string, furthest_component_distance long, furthest_component_shortest_path string",
         joined=furthest_by_level,
+        spread=True,
     )
 
 
@@ -273,8 +344,10 @@ def furthest_by_level(edges: DataFrame) -> DataFrame:
 
 def within_cycles(edges: DataFrame) -> DataFrame:
     """The edges that lie on a cycle; their islands are the strongly connected groups."""
-    back = distances_by_level(edges).select(F.col("dst").alias("from"), F.col("src").alias("to"))
-    return checkpointed(edges.join(back, ["from", "to"], "left_semi").select("from", "to"))
+    heads = checkpointed(strong_heads(edges))
+    a = heads.select(F.col("member").alias("from"), F.col("head").alias("x"))
+    b = heads.select(F.col("member").alias("to"), F.col("head").alias("y"))
+    return checkpointed(edges.join(a, "from").join(b, "to").where(F.col("x") == F.col("y")).select("from", "to"))
 
 
 def _closed(members: DataFrame) -> DataFrame:
@@ -284,15 +357,16 @@ def _closed(members: DataFrame) -> DataFrame:
 def shortest_cycles(edges: DataFrame) -> DataFrame:
     """``cycle, members`` (the path as text, closed, and its nodes, not closed) of the shortest cycles."""
 
-    def kernel(adj: K.Adjacency) -> list[tuple]:
-        return [(" -> ".join([*c, c[0]]), c) for c in K.shortest_cycles(adj)]
+    def kernel(adj: K.Adjacency, sources: list[str]) -> list[tuple]:
+        return [(" -> ".join([*c, c[0]]), c) for c in K.shortest_cycles(adj, sources)]
 
     def joined(large: DataFrame) -> DataFrame:
         # of a large island only its strongly connected groups matter, and most of them fit a task
-        return per_graph(within_cycles(large), kernel, schema, joined=shortest_cycles_by_level)
+        return per_graph(within_cycles(large), kernel, schema, joined=shortest_cycles_by_level, spread=True)
 
     schema = "cycle string, members array<string>"
-    return per_graph(edges, kernel, schema, joined=joined)
+    # a cycle comes once for each of its nodes that has a way back on it
+    return per_graph(edges, kernel, schema, joined=joined, spread=True).distinct()
 
 
 def shortest_cycles_by_level(edges: DataFrame) -> DataFrame:
@@ -310,15 +384,15 @@ def shortest_cycles_by_level(edges: DataFrame) -> DataFrame:
 def elementary_cycles(edges: DataFrame) -> DataFrame:
     """``cycle, members`` of all elementary cycles."""
 
-    def kernel(adj: K.Adjacency) -> list[tuple]:
-        return [(" -> ".join([*c, c[0]]), c) for c in K.elementary_cycles(adj)]
+    def kernel(adj: K.Adjacency, sources: list[str]) -> list[tuple]:
+        return [(" -> ".join([*c, c[0]]), c) for c in K.elementary_cycles(adj, sources)]
 
     def joined(large: DataFrame) -> DataFrame:
         # of a large island only its strongly connected groups matter, and most of them fit a task
-        return per_graph(within_cycles(large), kernel, schema, joined=elementary_cycles_by_level)
+        return per_graph(within_cycles(large), kernel, schema, joined=elementary_cycles_by_level, spread=True)
 
     schema = "cycle string, members array<string>"
-    return per_graph(edges, kernel, schema, joined=joined)
+    return per_graph(edges, kernel, schema, joined=joined, spread=True)
 
 
 def elementary_cycles_by_level(edges: DataFrame) -> DataFrame:
@@ -336,10 +410,8 @@ def elementary_cycles_by_level(edges: DataFrame) -> DataFrame:
 
 
 def numbered(cycles: DataFrame) -> DataFrame:
-    """Cycles with ``cycle_nr`` from 1 in the order of their text. Only the distinct texts go through the window."""
-    nr = F.row_number().over(Window.orderBy("cycle")).cast("long")
-    texts = cycles.select("cycle").distinct().select("cycle", nr.alias("cycle_nr"))
-    return cycles.join(texts, "cycle")
+    """Cycles with ``cycle_nr`` from 1 in the order of their text."""
+    return cycles.join(in_order(cycles.select("cycle").distinct(), "cycle", "cycle_nr", 1), "cycle")
 
 
 def cycle_rows(cycles: DataFrame) -> DataFrame:
@@ -385,10 +457,13 @@ def cycles_per_component(cycles: DataFrame) -> DataFrame:
 
 
 def betweenness(edges: DataFrame) -> DataFrame:
-    """``name, graph__betweenness``: directed, not normalised."""
-    return per_graph(
-        edges, lambda adj: list(K.betweenness(adj).items()), "name string, graph__betweenness double", joined=betweenness_by_level
-    )
+    """``name, graph__betweenness``: directed, not normalised; each task has the shares of some of the sources."""
+
+    def kernel(adj: K.Adjacency, sources: list[str]) -> list[tuple]:
+        return list(K.betweenness(adj, sources).items())
+
+    rows = per_graph(edges, kernel, "name string, graph__betweenness double", joined=betweenness_by_level, spread=True)
+    return rows.groupBy("name").agg(F.sum("graph__betweenness").alias("graph__betweenness"))
 
 
 def betweenness_by_level(edges: DataFrame) -> DataFrame:
@@ -503,7 +578,7 @@ def communities(edges: DataFrame) -> DataFrame:
         return [(n, c[0], len(c)) for c in K.communities(adj) for n in c]
 
     rows = per_graph(edges, kernel, "component string, head string, community_size long")
-    heads = rows.select("head").distinct().select("head", (F.row_number().over(Window.orderBy("head")) - 1).cast("long").alias("community_nr"))
+    heads = in_order(rows.select("head").distinct(), "head", "community_nr")
     return rows.join(heads, "head").select("component", "community_nr", "community_size")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict, deque
+from collections.abc import Collection
 
 Adjacency = dict[str, list[str]]
 
@@ -97,15 +98,21 @@ def rotated(cycle: list[str]) -> list[str]:
     return cycle[at:] + cycle[:at]
 
 
-def shortest_cycles(adj: Adjacency) -> list[list[str]]:
-    """Per edge inside a strongly connected component its smallest shortest way back, as distinct cycles, not closed."""
+def shortest_cycles(adj: Adjacency, ends: Collection[str] | None = None) -> list[list[str]]:
+    """Per edge inside a strongly connected component its smallest shortest way back, as distinct cycles, not closed.
+
+    ``ends`` limits the edges to those that end there.
+    """
     found = set()
+    ends = adj if ends is None else set(ends)
     for group in strong_components(adj):
         if len(group) < 2:
             continue
         inside = set(group)
         sub = {n: [m for m in adj[n] if m in inside] for n in group}
         for v in group:
+            if v not in ends:
+                continue
             _, _, before = shortest_from(sub, v)
             for p in group:
                 if v in sub[p]:
@@ -113,22 +120,24 @@ def shortest_cycles(adj: Adjacency) -> list[list[str]]:
     return [list(c) for c in sorted(found)]
 
 
-def elementary_cycles(adj: Adjacency) -> list[list[str]]:
-    """All elementary cycles, smallest node first, not closed.
+def elementary_cycles(adj: Adjacency, starts: Collection[str] | None = None) -> list[list[str]]:
+    """All elementary cycles, smallest node first, not closed; ``starts`` limits their smallest nodes.
 
     From each start node, in order, paths over later nodes of its component are followed; a blocked node is left until a
     cycle through it closes (Johnson's rule), so time is bounded by the number of cycles.
     """
     out = []
+    starts = adj if starts is None else set(starts)
     for group in strong_components(adj):
         nodes = list(group)
         while len(nodes) > 1:
             start = nodes[0]
-            inside = set(nodes)
-            sub = {n: [m for m in adj[n] if m in inside] for n in nodes}
-            part = next(g for g in strong_components(sub) if start in g)
-            sub = {n: [m for m in sub[n] if m in set(part)] for n in part}
-            _cycles_from(start, sub, out)
+            if start in starts:
+                inside = set(nodes)
+                sub = {n: [m for m in adj[n] if m in inside] for n in nodes}
+                part = set(next(g for g in strong_components(sub) if start in g))
+                sub = {n: [m for m in sub[n] if m in part] for n in sorted(part)}
+                _cycles_from(start, sub, out)
             nodes = nodes[1:]
     return sorted(out)
 
@@ -166,10 +175,10 @@ def _cycles_from(start: str, sub: Adjacency, out: list[list[str]]) -> None:
             closed.add(work[-1][0])
 
 
-def betweenness(adj: Adjacency) -> dict[str, float]:
-    """Directed betweenness, not normalised: shares of shortest paths between other nodes (Brandes)."""
+def betweenness(adj: Adjacency, sources: Collection[str] | None = None) -> dict[str, float]:
+    """Directed betweenness, not normalised: shares of shortest paths between other nodes (Brandes), from ``sources`` or all."""
     total = dict.fromkeys(adj, 0.0)
-    for s in adj:
+    for s in adj if sources is None else sources:
         dist, ways, _ = shortest_from(adj, s)
         need = dict.fromkeys(dist, 0.0)
         for a in sorted(dist, key=dist.get, reverse=True):

@@ -97,7 +97,7 @@ def furthest(s, d):
 
 
 def scc(s, d):
-    return graph.strong_groups(graph.distances(_edges(s, d)), _nodes(s, d))
+    return graph.strong_groups(_edges(s, d), _nodes(s, d))
 
 
 def shortest_cycles(s, d):
@@ -137,7 +137,7 @@ def communities(s, d):
 
 
 def scc_group_metrics(s, d):
-    members = graph.strong_groups(graph.distances(_edges(s, d)), _nodes(s, d))
+    members = graph.strong_groups(_edges(s, d), _nodes(s, d))
     return _rounded(graph.group_metrics(_conn(s, d), members, "group", "group__"))
 
 

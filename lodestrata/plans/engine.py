@@ -271,7 +271,7 @@ def component_metrics(base: DataFrame, conn: DataFrame, edges: DataFrame, dist:
 
 
 def strong_groups(a: Analysis) -> DataFrame:
-    members = graph.strong_groups(a.distances, a.nodes)
+    members = graph.strong_groups(a.edges, a.nodes)
     return graph.group_metrics(a.connections, members, "group", "group__")
 
 
