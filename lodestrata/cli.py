@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import csv
 import sys
 
 from pyspark.sql import DataFrame
@@ -18,6 +19,14 @@ from lodestrata.sources.sinks import render, save_sqlite
 NEEDS = {"component_cycles_elementary": "cycles", "component_cycles_largest": "cycles"}
 
 
+class Listed(argparse.Action):
+    """Values of a flag that may be given more than once, each a list parted by commas."""
+
+    def __call__(self, parser, namespace, values, option_string=None):
+        row = next(csv.reader([values], skipinitialspace=True), [])
+        setattr(namespace, self.dest, [*getattr(namespace, self.dest), *[x for x in row if x]])
+
+
 def extensions_of(names: list[str], patterns: list[str], more: list[Extension] | None = None) -> list[Extension]:
     out: list[Extension] = list(more or [])
     out += [PackExtension(builtin_pack(n)) for n in names if n not in ("git", "cycles")]
@@ -42,22 +51,22 @@ def analysis(args: argparse.Namespace, more: list[Extension] | None = None) -> A
 def main(argv: list[str] | None = None, more: list[Extension] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="lodestrata")
     parser.add_argument("-f", "--working-dir", default=".")
-    parser.add_argument("-e", "--extension", action="append", default=[])
+    parser.add_argument("-e", "--extension", action=Listed, default=[])
     parser.add_argument("-s", "--snippet", action="append", default=[])
     parser.add_argument("--spaces", type=int, default=4)
     parser.add_argument("--based-on")
     commands = parser.add_subparsers(dest="command", required=True)
     view = commands.add_parser("view")
     view.add_argument("name")
-    view.add_argument("-c", "--column", action="append", default=[])
+    view.add_argument("-c", "--column", action=Listed, default=[])
     view.add_argument("--sorted-by")
     view.add_argument("-o", "--output-format", default="table")
     view.add_argument("--no-header", action="store_true")
     export = commands.add_parser("export").add_subparsers(dest="target", required=True).add_parser("sqlite")
     export.add_argument("file")
     export.add_argument("--report-id", required=True)
-    export.add_argument("--include", action="append", default=[])
-    export.add_argument("--exclude", action="append", default=[])
+    export.add_argument("--include", action=Listed, default=[])
+    export.add_argument("--exclude", action=Listed, default=[])
     args = parser.parse_args(argv)
     try:
         a = analysis(args, more)

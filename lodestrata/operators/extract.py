@@ -25,13 +25,19 @@ _POSITION = pa.struct([("offset", pa.int32()), ("line", pa.int32()), ("char_in_l
 
 @dataclass(frozen=True)
 class Pack:
-    """What to look for in the files of a glob: patterns with named groups, or a named language extractor."""
+    """What to look for in the files of a glob: patterns with named groups, or a named language extractor.
+
+    With ``only_stats`` the snippets are counted but not kept; with ``by_directory`` the component of a file is its folder;
+    ``limit`` is the most matches of a pattern in a file.
+    """
 
     name: str
     glob: str
     patterns: tuple[str, ...] = ()
     language: str | None = None
     only_stats: bool = False
+    by_directory: bool = False
+    limit: int | None = None
 
 
 def builtin_pack(name: str) -> Pack:
@@ -52,8 +58,8 @@ def position(offset: int, newlines: list[int], size: int) -> dict[str, int]:
     return {"offset": offset, "line": line + 1, "char_in_line": at - start + 1}
 
 
-def _searchers(found: Sequence[Pack]) -> list[tuple[re.Pattern, list[re.Pattern], str | None]]:
-    return [(re.compile(glob_to_regex(p.glob)), packs.compiled(list(p.patterns)), p.language) for p in found]
+def _searchers(found: Sequence[Pack]) -> list[tuple[re.Pattern, list[re.Pattern], Pack]]:
+    return [(re.compile(glob_to_regex(p.glob)), packs.compiled(list(p.patterns)), p) for p in found]
 
 
 def _of_language(language: str, source: bytes) -> tuple[list[packs.Found], list[tuple[str, int]]]:
@@ -77,10 +83,10 @@ def raw_snippets(files: DataFrame, wanted: Sequence[Pack]) -> DataFrame:
             cols: list[list] = [[], [], [], [], [], []]
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 newlines = None
-                for k, (gate_, patterns, language) in enumerate(search):
+                for k, (gate_, patterns, pack) in enumerate(search):
                     if not gate_.match(path):
                         continue
-                    found = _of_language(language, data)[0] if language else packs.by_patterns(data, patterns)
+                    found = _of_language(pack.language, data)[0] if pack.language else packs.by_patterns(data, patterns, pack.limit)
                     for kind, begin, end, value in found:
                         if kind.startswith("_"):
                             continue
@@ -110,9 +116,9 @@ def language_stats(files: DataFrame, wanted: Sequence[Pack]) -> DataFrame:
             rows = [
                 (path, kind, float(n))
                 for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True)
-                for gate_, _, language in search
+                for gate_, _, pack in search
                 if gate_.match(path)
-                for kind, n in _of_language(language, data)[1]
+                for kind, n in _of_language(pack.language, data)[1]
             ]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.float64()))],

@@ -120,6 +120,18 @@ def successors(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("from").alias("name"), F.col("to").alias("successor"))
 
 
+def has_edges(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``from, to, from_to, between`` of ``pairs`` (``from, to``): whether there is an edge that way, and one either way.
+
+    A null end has no edge; a pair that comes again comes out again.
+    """
+    known = edges.select(F.col("from").alias("a"), F.col("to").alias("b"), F.lit(True).alias("hit")).distinct()
+    back = known.select(F.col("a").alias("c"), F.col("b").alias("d"), F.col("hit").alias("back"))
+    out = pairs.select("from", "to").join(known, (F.col("from") == F.col("a")) & (F.col("to") == F.col("b")), "left")
+    out = out.join(back, (F.col("from") == F.col("d")) & (F.col("to") == F.col("c")), "left")
+    return out.select("from", "to", F.col("hit").isNotNull().alias("from_to"), (F.col("hit").isNotNull() | F.col("back").isNotNull()).alias("between"))
+
+
 def distances(edges: DataFrame) -> DataFrame:
     """``src, dst, distance, ways`` of all reachable ordered pairs of different nodes; ``ways`` counts shortest paths."""
 

@@ -5,8 +5,10 @@ A pattern works on bytes; each of its named groups is a snippet of the type of t
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
+from itertools import accumulate, islice
 
 # Names of the types of snippets.
 DECLARATIONS = "modularity__component__declarations"
@@ -66,12 +68,10 @@ def blanked(source: bytes) -> bytes:
     return _SKIP.sub(lambda m: re.sub(rb"[^\n]", b" ", m.group()), source)
 
 
-def by_patterns(source: bytes, patterns: list[re.Pattern], limit: int = 1_000_000) -> Iterator[Found]:
-    """Every named group of every match, up to ``limit`` matches of a pattern in a file."""
+def by_patterns(source: bytes, patterns: list[re.Pattern], limit: int | None = None) -> Iterator[Found]:
+    """Every named group of every match, or of the first ``limit`` matches of each pattern."""
     for p in patterns:
-        for k, m in enumerate(p.finditer(source)):
-            if k >= limit:
-                break
+        for m in islice(p.finditer(source), limit):
             for name in p.groupindex:
                 if m.group(name) is not None:
                     yield name, m.start(name), m.end(name), m.group(name)
@@ -122,8 +122,10 @@ _CLASS_SNIPPETS = {
 _MAPPINGS = {"GetMapping": "get", "PutMapping": "put", "PostMapping": "post", "DeleteMapping": "delete", "PatchMapping": "patch"}
 
 
-def _depth(code: bytes, at: int) -> int:
-    return code.count(b"{", 0, at) - code.count(b"}", 0, at)
+def _depths(code: bytes) -> tuple[list[int], list[int]]:
+    """Where each brace is, and how many are open after it."""
+    braces = [(m.start(), 1 if m.group() == b"{" else -1) for m in re.finditer(rb"[{}]", code)]
+    return [at for at, _ in braces], list(accumulate(x for _, x in braces))
 
 
 def java(source: bytes, ignored: tuple[str, ...] = JAVA_IGNORED) -> tuple[list[Found], list[tuple[str, int]]]:
@@ -187,9 +189,11 @@ def java(source: bytes, ignored: tuple[str, ...] = JAVA_IGNORED) -> tuple[list[F
             for x in keys:
                 stat = f"java__spring__request_mappings__{x}"
                 stats[stat] = stats.get(stat, 0) + 1
+    braces, depths = _depths(code)
     for m in _J_FIELD.finditer(code):
         first = m.group(2).split()[0]
-        if first in _KEYWORDS or _depth(code, m.start(3)) != 1:
+        before = bisect.bisect_left(braces, m.start(3))
+        if first in _KEYWORDS or not before or depths[before - 1] != 1:
             continue
         add("java__field__declaration", m, 3)
         stats["java__field__declarations"] = stats.get("java__field__declarations", 0) + 1

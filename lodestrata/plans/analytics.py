@@ -189,12 +189,44 @@ def _analysis(s, d):
 
 
 def summary(s, d):
-    out = _analysis(s, d).view("summary").where(F.col("name") != "version")
+    out = _analysis(s, d).view("summary").where(~F.col("name").isin("version", "git__repository"))
     return _rounded(out.select("name", F.col("value").cast("double").alias("value")))
 
 
+def files_view(s, d):
+    return _rounded(_analysis(s, d).view("files"))
+
+
+def directories_view(s, d):
+    return _rounded(_analysis(s, d).view("directories"))
+
+
+def components_git(s, d):
+    """The statistics of the history in the components view."""
+    a = _analysis(s, d)
+    base = a.component_files.select(F.col("component").alias("name")).distinct()
+    return stats.with_unknown(a.with_history(base, a.component_files.withColumnRenamed("component", "name")))
+
+
+def only_stats_counts(s, d):
+    """Counts of a pack that keeps no snippets."""
+    pack = extract.Pack("words", "**.java", (r"class (?P<classes>\w+)", r"(?P<todos>TODO)"), only_stats=True)
+    e = engine.Engine(s, [engine.PackExtension(pack)], based_on=BASED_ON)
+    a = e.analyze(table(s, d, "source_files"))
+    return a.records.where(F.col("stat_type").isin("classes", "todos")).select("file", "stat_type", F.col("value").cast("long").alias("value"))
+
+
+def edge_predicates(s, d):
+    """Which neighbours at any distance of up to two are joined by an edge, this way or either way."""
+    e = _edges(s, d)
+    second = e.select(F.col("from").alias("mid"), F.col("to").alias("end"))
+    two = e.join(second, e["to"] == second["mid"]).select("from", F.col("end").alias("to"))
+    return graph.has_edges(e, e.unionByName(two).distinct())
+
+
 def snippets_view(s, d):
-    return _analysis(s, d).view("snippets").select("content", "file", "component", "snippet_type", "begin_position.offset", "end_position.line")
+    ends = [F.col(f"{e}_position.{f}").alias(f"{e}_{f}") for e in ("begin", "end") for f in ("offset", "line", "char_in_line")]
+    return _analysis(s, d).view("snippets").select("content", "file", "component", "snippet_type", *ends)
 
 
 def components_view(s, d):
@@ -202,9 +234,10 @@ def components_view(s, d):
 
 
 def components_core(s, d):
-    """The components view without what only converges (PageRank, HITS)."""
+    """The components view without what only converges (PageRank, HITS) and without the history (components_git)."""
     out = _analysis(s, d).view("components")
-    return _rounded(out.drop("graph__page_rank", "graph__hits__hub_score", "graph__hits__authority_score"))
+    out = out.drop("graph__page_rank", "graph__hits__hub_score", "graph__hits__authority_score")
+    return _rounded(out.drop(*[c for c in out.columns if c.startswith("git__")]))
 
 
 def definitions(s, d):
@@ -300,16 +333,15 @@ def cycle_shared_commits(s, d):
 
 def git_log_parse(s, d):
     """The history written as a log and taken apart again."""
-    p = _parts(s, d).where(F.col("file").isNotNull() & F.col("commit_time").isNotNull() & F.col("message").isNotNull() & F.col("author").isNotNull())
-    p = p.where(~F.col("message").rlike(r"[\r\n]"))
+    p = _parts(s, d).where(F.col("file").isNotNull())  # a log has no other parts
     line = F.concat_ws("\t", F.coalesce(F.col("additions").cast("string"), F.lit("-")), F.coalesce(F.col("deletions").cast("string"), F.lit("-")), F.expr("substr(file, length(repo) + 2)"))
     blocks = p.groupBy("repo", "commit_hash").agg(
-        F.min(F.unix_seconds(F.col("commit_time").cast("timestamp"))).alias("t"), F.min("author").alias("a"), F.min(F.coalesce("author_email", F.lit(""))).alias("e"),
-        F.min("message").alias("m"), F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"),
+        F.min(F.unix_seconds(F.col("commit_time").cast("timestamp"))).cast("string").alias("t"), F.min("author").alias("a"), F.min("author_email").alias("e"),
+        F.regexp_replace(F.min("message"), r"[\r\n]+", " ").alias("m"), F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"),
     )
     logs = blocks.select(
         "repo",
-        F.concat(F.lit(gitlog.RECORD), F.concat_ws(gitlog.FIELD, "commit_hash", F.col("t").cast("string"), "a", "e", "m", F.concat(F.lit("\n"), "lines"))).alias("log"),
+        F.concat(F.lit(gitlog.RECORD), F.concat_ws(gitlog.FIELD, *[F.coalesce(c, F.lit("")) for c in ("commit_hash", "t", "a", "e", "m")], F.concat(F.lit("\n"), "lines"))).alias("log"),
     )
     out = gitlog.commit_parts(gitlog.raw_commits(logs))
     return out.groupBy("repo").agg(
@@ -345,7 +377,7 @@ QUERIES = {
         conn_direct, conn_edges_distinct, couplings, instability_distance, predecessors_direct, successors_direct, dist_all_pairs,
         dist_by_level, reachability_all, indirect_paths, furthest, scc, shortest_cycles, cycles_per_component, elementary_cycles,
         largest_cycle, closeness, betweenness, pagerank_20, hits_20, communities, scc_group_metrics, scc_group_couplings, community_metrics,
-        file_lines, indentation, file_stats_pivot, component_stats, dir_rollup, summary, snippets_view, components_view, components_core, definitions,
+        file_lines, indentation, file_stats_pivot, component_stats, dir_rollup, summary, files_view, directories_view, components_git, only_stats_counts, edge_predicates, snippets_view, components_view, components_core, definitions,
         snippets_regex, snippets_all_packs, language_stats, declared_components, directory_components, directory_closure, path_ancestors,
         authors_buckets, commits_flat, repo_stats, git_file_stats, oldest_age, component_repository, repository_of_file,
         parts_with_components, cycle_shared_commits, git_log_parse, ignore_filter, sort_view, view_projection, mode_repo,
@@ -401,6 +433,27 @@ def _commit_sql(key: str, what: list[str]) -> str:
     return ", ".join(out)
 
 
+_GIT = ["additions", "deletions", "commits", "authors", "unique_file_changes"]
+
+
+def _git_sql(members: str, head: str, key: str = "k") -> str:
+    """Statistics of the history by the groups of ``members`` (``key, file``), as ``k``, repository, age and counts."""
+    return f"""{head}{_PARTS}, mem AS (SELECT {key} AS k, file FROM {members}),
+rp AS (SELECT DISTINCT repo FROM parts WHERE repo IS NOT NULL),
+place AS (SELECT path AS file, COALESCE((SELECT MIN(repo) FROM rp WHERE starts_with(path, repo || '/')), '') AS repo FROM (SELECT DISTINCT path FROM source_files)),
+aged AS (SELECT file, MAX(age) AS age FROM parts WHERE file IS NOT NULL GROUP BY 1),
+pl AS (SELECT k, place.repo, COALESCE(aged.age, 0) AS age FROM mem JOIN place USING (file) LEFT JOIN aged USING (file)),
+mr AS (SELECT k, repo FROM pl GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY k ORDER BY COUNT(*) DESC, repo) = 1),
+ma AS (SELECT k, age FROM pl GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY k ORDER BY COUNT(*) DESC, age) = 1),
+cs AS (SELECT k, {_commit_sql('k', _GIT)} FROM mem JOIN parts USING (file) GROUP BY 1)
+SELECT mr.k, mr.repo AS git__repository, ma.age AS git__age_in_days, {_git_zero("cs.")} FROM mr JOIN ma ON ma.k = mr.k LEFT JOIN cs ON cs.k = mr.k"""
+
+
+def _git_zero(table: str = "g.") -> str:
+    names = ([] if table == "cs." else ["git__age_in_days"]) + [f"git__{w}{t}" for t in ("__total", *[f"__last_{x}_days" for x in (30, 90, 180)]) for w in _GIT]
+    return ", ".join(f"COALESCE({table}{n}, 0) AS {n}" for n in names)
+
+
 _BYTES = "bytes AS (SELECT path, content, octet_length(content) AS n FROM source_files WHERE content IS NOT NULL)"
 # text for measures: every byte is a character
 _LATIN = """latin AS (
@@ -559,7 +612,24 @@ UNION ALL SELECT 'complexity__indentation__avg', complexity__indentation__avg FR
 UNION ALL SELECT '{DECLARATIONS}', {DECLARATIONS} FROM t UNION ALL SELECT '{IMPORTS}', {IMPORTS} FROM t
 UNION ALL SELECT '{ABSTRACT}', {ABSTRACT} FROM t UNION ALL SELECT '{TYPES}', {TYPES} FROM t
 UNION ALL SELECT 'complexity__files', COUNT(*) FROM source_files UNION ALL SELECT 'component_count', COUNT(*) FROM names
-UNION ALL SELECT 'connection_count', COUNT(*) FROM conn UNION ALL SELECT 'directory_count', COUNT(DISTINCT directory) FROM above""",
+UNION ALL SELECT 'connection_count', COUNT(*) FROM conn UNION ALL SELECT 'directory_count', COUNT(DISTINCT directory) FROM above
+UNION ALL SELECT name, value::DOUBLE FROM ({_git_sql("(SELECT 'whole' AS k, path AS file FROM source_files WHERE path IS NOT NULL)", "WITH ")}) UNPIVOT (value FOR name IN (COLUMNS('git__(age|add|del|com|aut|uni).*')))""",
+    "files_view": f"""WITH {_COUNTS}, kf AS (SELECT file, MIN(component) AS component FROM snippets WHERE component IS NOT NULL GROUP BY 1),
+g AS ({_git_sql("(SELECT DISTINCT path AS k, path AS file FROM source_files WHERE path IS NOT NULL)", "WITH ")})
+SELECT p.file AS name, p.* EXCLUDE (file), g.git__repository, {_git_zero()}, CASE WHEN contains(p.file, '/') THEN regexp_replace(p.file, '/[^/]*$', '') ELSE '.' END AS directory, kf.component
+FROM (SELECT file, {_STATS} FROM per_file GROUP BY file) p LEFT JOIN g ON g.k = p.file LEFT JOIN kf ON kf.file = p.file""",
+    "directories_view": f"""WITH {_COUNTS}, {_ABOVE},
+g AS ({_git_sql("above", "WITH " + _ABOVE + ", ", "directory")})
+SELECT d.*, g.git__repository, {_git_zero()} FROM (SELECT directory AS name, {_STATS}, COUNT(*) AS complexity__files
+  FROM above JOIN per_file USING (file) GROUP BY directory) d LEFT JOIN g ON g.k = d.name""",
+    "components_git": f"""WITH cf AS (SELECT DISTINCT component AS k, file FROM snippets WHERE component IS NOT NULL), g AS ({_git_sql("(SELECT DISTINCT component AS k, file FROM snippets WHERE component IS NOT NULL)", "WITH ")})
+SELECT CASE WHEN n.k = '' THEN 'Unknown' ELSE n.k END AS name, g.git__repository, {_git_zero()} FROM (SELECT DISTINCT k FROM cf) n LEFT JOIN g ON g.k = n.k""",
+    "only_stats_counts": """WITH t AS (SELECT path AS file, regexp_replace(hex(content), '(..)', '\\1 ', 'g') AS h FROM source_files WHERE content IS NOT NULL AND ends_with(path, '.java')),
+c AS (SELECT file, 'classes' AS stat_type, len(regexp_extract_all(h, '63 6C 61 73 73 20 (3[0-9]|4[1-9A-F]|5[0-9AF]|6[1-9A-F]|7[0-9A]) ')) AS value FROM t
+  UNION ALL SELECT file, 'todos', len(regexp_extract_all(h, '54 4F 44 4F ')) FROM t)
+SELECT file, stat_type, value FROM c WHERE value > 0""",
+    "edge_predicates": f"""WITH {_CONN}, pr AS (SELECT f, t FROM e UNION SELECT a.f, b.t FROM e a JOIN e b ON a.t = b.f)
+SELECT f AS "from", t AS "to", (f, t) IN (SELECT (f, t) FROM e) AS from_to, (f, t) IN (SELECT (f, t) FROM e) OR (t, f) IN (SELECT (f, t) FROM e) AS between FROM pr""",
     "component_repository": f"""WITH {_PARTS}, cf AS (SELECT DISTINCT component, file FROM snippets WHERE component IS NOT NULL),
 r AS (SELECT file, repo FROM parts WHERE file IS NOT NULL AND repo IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY file ORDER BY COUNT(*) DESC, repo) = 1),
 a AS (SELECT file, MAX(age) AS age FROM parts WHERE file IS NOT NULL GROUP BY 1),
@@ -569,7 +639,8 @@ SELECT x.component AS name, (SELECT repo FROM fs WHERE component = x.component A
 FROM (SELECT DISTINCT component FROM fs) x""",
     "dir_rollup": f"""WITH {_COUNTS}, {_ABOVE} SELECT directory AS name, {_STATS}, COUNT(*) AS complexity__files
 FROM above JOIN per_file USING (file) GROUP BY directory""",
-    "snippets_view": """SELECT content, file, component, snippet_type, begin_position.offset AS offset, end_position.line AS line FROM snippets""",
+    "snippets_view": "SELECT content, file, component, snippet_type, " + ", ".join(
+        f"{e}_position.{f} AS {e}_{f}" for e in ("begin", "end") for f in ("offset", "line", "char_in_line")) + " FROM snippets",
     "declared_components": f"""SELECT DISTINCT file, COALESCE((SELECT s2.content FROM snippets s2 WHERE s2.file = s.file AND s2.snippet_type = '{DECLARATIONS}'
   ORDER BY s2.begin_position.offset, s2.content LIMIT 1), 'Unknown') AS component FROM snippets s""",
     "directory_components": """SELECT DISTINCT file, CASE WHEN contains(file, '/') THEN regexp_replace(file, '/[^/]*$', '') ELSE '.' END AS component FROM snippets""",
@@ -608,7 +679,7 @@ SELECT c.cycle, c.n AS cycle_size, COUNT(h.commit_hash) AS shared_commits, COUNT
 FROM c LEFT JOIN h ON h.cycle = c.cycle GROUP BY 1, 2""",
     "git_log_parse": f"""WITH {_PARTS} SELECT repo, COUNT(*) AS parts, COUNT(DISTINCT commit_hash) AS commits, COUNT(DISTINCT file) AS files,
   CAST(SUM(COALESCE(additions, 0)) AS BIGINT) AS additions, CAST(SUM(COALESCE(deletions, 0)) AS BIGINT) AS deletions, MAX(CAST(floor(epoch(commit_time)) AS BIGINT)) AS last
-FROM parts WHERE file IS NOT NULL AND commit_time IS NOT NULL AND message IS NOT NULL AND author IS NOT NULL AND NOT regexp_matches(message, '[\\r\\n]') GROUP BY 1""",
+FROM parts WHERE file IS NOT NULL GROUP BY 1""",
     "snippets_regex": f"""WITH t AS (SELECT path, content, CAST(regexp_replace(hex(content), '(..)', '\\1 ', 'g') AS VARCHAR) AS h FROM source_files WHERE content IS NOT NULL)
 SELECT s.file, s.content, s.begin_position.offset AS begin, s.end_position.offset AS "end", s.begin_position.line AS line
 FROM (SELECT DISTINCT * FROM snippets) s WHERE snippet_type = '{DECLARATIONS}' AND regexp_matches(file, '\\.(kt|scala|php)$')""",

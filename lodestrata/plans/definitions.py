@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
+
+FIELDS = ("id", "name", "short", "long")
+
 DEFINITIONS: list[tuple[str, str, str, str]] = [
     ("complexity__lines", "Lines", "Lines of a file.", "The newlines of a file and one. An empty file has one line."),
     ("complexity__files", "Files", "Files of a group.", "The files in a component, folder or repository that hold at least one snippet."),
@@ -17,3 +22,32 @@ DEFINITIONS: list[tuple[str, str, str, str]] = [
     ("graph__harmonic_centrality", "Harmonic centrality", "How near it is to those that reach it.", "The sum of 1 by distance over all components from which it can be reached."),
     ("graph__residual_closeness", "Residual closeness", "How near it is, near ones counting twice as much per step.", "The sum of 2 to the minus distance over all components from which it can be reached."),
 ]
+
+
+def read_definition(text: str) -> tuple[str, str, str, str]:
+    """A definition of ``key: value`` lines; values may be quoted, go on in indented lines, or be blocks (``|`` or ``>``).
+
+    Other keys are ignored, a missing one is empty.
+    """
+    found: dict[str, str] = {}
+    for m in re.finditer(r"^(\w+):[ \t]*(.*(?:\n(?:[ \t]+.*|[ \t]*(?=\n[ \t])))*)", text.replace("\r\n", "\n"), re.MULTILINE):
+        first, *more = m[2].split("\n")
+        first = first.strip()
+        if re.fullmatch(r"[|>][+-]?", first):
+            value = ("\n" if first[0] == "|" else " ").join(x.strip() for x in more).strip()
+        else:
+            value = " ".join(x.strip() for x in [first, *more] if x.strip())
+            value = value[1:-1].replace("''", "'") if value[:1] == "'" == value[-1:] else value
+            value = re.sub(r"\\(.)", lambda e: {"n": "\n", "t": "\t"}.get(e[1], e[1]), value[1:-1]) if value[:1] == '"' == value[-1:] else value
+        found[m[1]] = value
+    return tuple(found.get(k, "") for k in FIELDS)
+
+
+def load_definitions(folder: str) -> list[tuple[str, str, str, str]]:
+    """The definitions of all ``.yaml`` and ``.yml`` files under a folder, in the order of their paths."""
+    paths = sorted(os.path.join(here, f) for here, _, files in os.walk(folder) for f in files if f.endswith((".yaml", ".yml")))
+    out = []
+    for p in paths:
+        with open(p, encoding="utf-8") as f:
+            out.append(read_definition(f.read()))
+    return out

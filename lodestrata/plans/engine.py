@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
-from functools import cached_property
+from dataclasses import dataclass, field, replace
+from functools import cached_property, reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import metrics as M
-from lodestrata.functions.text import directory_of, normal_path
+from lodestrata.functions.text import directory_of, glob_to_regex, normal_path
 from lodestrata.operators import extract, graph, history, linking, stats
 from lodestrata.operators.packs import ABSTRACT, TYPES
 from lodestrata.plans.definitions import DEFINITIONS
@@ -98,6 +99,9 @@ class Analysis:
             raw = edit(raw)
         if "component" not in raw.columns:
             raw = linking.declared_components(raw)
+            by_folder = [F.col("file").rlike(glob_to_regex(p.glob)) for p in self.engine.packs if p.by_directory]
+            if by_folder:
+                raw = raw.withColumn("component", F.when(reduce(or_, by_folder), directory_of(F.col("file"))).otherwise(F.col("component")))
         return extract.with_directory(raw).persist()
 
     @cached_property
@@ -105,6 +109,9 @@ class Analysis:
         """Long statistics of files: measures, counts of snippets, counts of language packs and of extensions."""
         rows = stats.measure_records(extract.file_measures(self.source, self.engine.spaces))
         rows = rows.unionByName(extract.snippet_counts(self.snippets)).unionByName(extract.language_stats(self.source, self.engine.packs))
+        counted = [replace(p, only_stats=False) for p in self.engine.packs if p.only_stats]
+        if counted:
+            rows = rows.unionByName(extract.snippet_counts(extract.raw_snippets(self.source, counted)))
         for make in self.engine.file_records:
             rows = rows.unionByName(make(self.source))
         for edit in self.engine.record_edits:
@@ -126,6 +133,34 @@ class Analysis:
             raise ValueError("this view needs a change history")
         return history.with_components(self.given_parts, self.component_files).persist()
 
+    @cached_property
+    def file_places(self) -> DataFrame:
+        """``file, git__repository, git__age_in_days`` of every file: the repository above it, the days since its first change."""
+        files = self.source.where(F.col("path").isNotNull()).select(F.col("path").alias("file")).distinct()
+        ages = history.oldest_age(self.given_parts.where(F.col("file").isNotNull()), ["file"], self.based_on)
+        places = history.repository_of(files, self.given_parts.where(F.col("repo").isNotNull()).select("repo"))
+        return places.join(ages, "file", "left").select(
+            "file", F.col("repo").alias("git__repository"), F.coalesce("git__age_in_days", F.lit(0)).cast("long").alias("git__age_in_days")
+        )
+
+    def with_history(self, view: DataFrame, members: DataFrame, key: str = "name") -> DataFrame:
+        """``view`` with the statistics of the history of each row's files (``members``: ``key, file``), if there is a history.
+
+        Commits, authors and files are counted once however many files of the row they touch; repository and age are those that
+        most files have. Without a commit the counts are 0.
+        """
+        if self.given_parts is None:
+            return view
+        named = members.select(F.col(key).alias("h_key"), "file")
+        what = ("additions", "deletions", "commits", "authors", "unique_file_changes")
+        counts = history.commit_stats(self.given_parts.join(named, "file"), ["h_key"], self.based_on, self.engine.buckets, what)
+        places = named.join(self.file_places, "file").groupBy(F.col("h_key").alias("p_key")).agg(
+            *[F.mode(c, True).alias(c) for c in ("git__repository", "git__age_in_days")]
+        )
+        out = view.join(places, F.col(key).eqNullSafe(F.col("p_key")), "left").join(counts, F.col(key).eqNullSafe(F.col("h_key")), "left")
+        numbers = ["git__age_in_days", *[c for c in counts.columns if c != "h_key"]]
+        return out.select(*view.columns, "git__repository", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in numbers])
+
     @cached_property
     def connections(self) -> DataFrame:
         return linking.connections(self.snippets).persist()
@@ -193,8 +228,9 @@ def select_views(possible: Sequence[str], include: Sequence[str] = (), exclude:
 
 
 def summary(a: Analysis) -> DataFrame:
-    """``name, value`` of the whole: every total, also those that other views hide."""
-    totals = [stats.ACCUMULATORS.get(t, stats.sum_of)(F.when(F.col("stat_type") == t, F.col("value"))).alias(t) for t in a.types]
+    """``name, value`` of the whole: every total, also those that other views hide, and the statistics of the history."""
+    chosen = stats.ACCUMULATORS | a.engine.accumulators
+    totals = [chosen.get(t, stats.sum_of)(F.when(F.col("stat_type") == t, F.col("value"))).alias(t) for t in a.types]
     row = a.records.agg(*totals) if totals else a.records.agg(F.count(F.lit(1)).alias("_none")).drop("_none")
     values = {t: row[t].cast("double") for t in row.columns}
     hidden = f"_{stats.INDENT_SUM}"
@@ -211,22 +247,30 @@ def summary(a: Analysis) -> DataFrame:
     for name, df in counts.items():
         one = df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).cast("double").alias("value"))
         out = one if out is None else out.unionByName(one)
-    return out.select("name", F.col("value").cast("string").alias("value")).union(
-        a.engine.spark.createDataFrame([("version", VERSION)], "name string, value string")
-    )
+    text = out.select("name", F.col("value").cast("string").alias("value"))
+    if a.given_parts is not None:
+        whole = a.engine.spark.createDataFrame([("whole",)], "name string")
+        everything = a.source.where(F.col("path").isNotNull()).select(F.lit("whole").alias("name"), F.col("path").alias("file")).distinct()
+        one = a.with_history(whole, everything)
+        fields = [F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in one.columns if c != "name"]
+        text = text.union(one.select(F.explode(F.array(*fields)).alias("p")).select("p.name", "p.value"))
+    return text.union(a.engine.spark.createDataFrame([("version", VERSION)], "name string, value string"))
 
 
 def files(a: Analysis) -> DataFrame:
-    out = stats.accumulated(a.records, ["file"], a.types, a.engine.accumulators)
+    out = stats.accumulated(a.records, ["file"], a.types, a.engine.accumulators).withColumnRenamed("file", "name")
     known = a.component_files.select(F.col("file").alias("k_file"), "component").groupBy("k_file").agg(F.min("component").alias("component"))
-    return (
-        out.join(known, F.col("file") == F.col("k_file"), "left")
-        .select(F.col("file").alias("name"), *[c for c in out.columns if c != "file"], directory_of(F.col("file")).alias("directory"), "component")
+    members = a.source.where(F.col("path").isNotNull()).select(F.col("path").alias("name"), F.col("path").alias("file")).distinct()
+    out = a.with_history(out, members)
+    return out.join(known, F.col("name") == F.col("k_file"), "left").select(
+        *out.columns, directory_of(F.col("name")).alias("directory"), "component"
     )
 
 
 def directories(a: Analysis) -> DataFrame:
-    return stats.stats_by_group(a.records, linking.directory_files(a.snippets), "directory", a.types, a.engine.accumulators)
+    members = linking.directory_files(a.snippets)
+    out = stats.stats_by_group(a.records, members, "directory", a.types, a.engine.accumulators)
+    return a.with_history(out, members.withColumnRenamed("directory", "name"))
 
 
 def snippets(a: Analysis) -> DataFrame:
@@ -238,7 +282,8 @@ def definitions(a: Analysis) -> DataFrame:
 
 
 def components(a: Analysis) -> DataFrame:
-    base = stats.with_unknown(stats.stats_by_group(a.records, a.component_files, "component", a.types, a.engine.accumulators))
+    base = stats.stats_by_group(a.records, a.component_files, "component", a.types, a.engine.accumulators)
+    base = stats.with_unknown(a.with_history(base, a.component_files.withColumnRenamed("component", "name")))
     return component_metrics(base, a.connections, a.edges, a.distances, a.cycles, a.nodes)
 
 

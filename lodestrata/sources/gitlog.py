@@ -8,9 +8,9 @@ import subprocess
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Between commits, and between the fields of one. Control characters, so a subject may hold dashes.
+#: Times are those of the authors, which no rebase moves. Between commits, and between the fields of one. Control characters, so a subject may hold dashes.
 RECORD, FIELD = "\x1e", "\x1f"
-FORMAT = "%x1e%H%x1f%ct%x1f%an%x1f%ae%x1f%s%x1f"
+FORMAT = "%x1e%H%x1f%at%x1f%an%x1f%ae%x1f%s%x1f"
 
 
 def find_repositories(root: str) -> list[str]:

@@ -10,15 +10,17 @@ import subprocess
 import pytest
 
 from lodestrata.plans.engine import Engine, Extension, PackExtension, select_views, snippets_extension, sort_view
-from lodestrata.operators.extract import builtin_pack
+from lodestrata.operators import graph
+from lodestrata.operators.extract import Pack, builtin_pack
+from lodestrata.plans.definitions import load_definitions
 from lodestrata.sources import filetree, sinks
 from pyspark.sql import functions as F
 
 TREE = {
-    "a/a_1": "\ncomponent a\n\ndepends on b\ndepends on c", "a/a_2": "\ncomponent a\n\ndepends on b\ndepends on d",
-    "b/b_1": "\ncomponent b\n\ndepends on c\ndepends on c", "c/c_1": "\ncomponent c\n\ndepends on a", "d/d_1": "\ncomponent d",
+    "shop/cart": "\nunit shop\n\nneeds stock\nneeds mail", "shop/list": "\nunit shop\n\nneeds stock", "stock/count": "\nunit stock\n\nneeds mail\nneeds mail",
+    "mail/send": "\nunit mail\n\nneeds shop\nneeds log", "log/all": "\nunit log",
 }
-PATTERNS = [r"component (?P<modularity__component__declarations>[a-z]+)", r"depends on (?P<modularity__component__imports>[a-z]+)"]
+PATTERNS = [r"unit (?P<modularity__component__declarations>[a-z]+)", r"needs (?P<modularity__component__imports>[a-z]+)"]
 
 
 @pytest.fixture(scope="module")
@@ -38,23 +40,23 @@ def analysis(spark, tree):
 def test_components(analysis):
     got = {r["name"]: r.asDict() for r in analysis.view("components").collect()}
     assert {n: (v["complexity__files"], v["complexity__lines"], v["modularity__component__imports"]) for n, v in got.items()} == {
-        "a": (2, 10, 4), "b": (1, 5, 2), "c": (1, 4, 1), "d": (1, 2, 0),
+        "shop": (2, 9, 3), "stock": (1, 5, 2), "mail": (1, 5, 2), "log": (1, 2, 0),
     }
-    assert got["a"]["modularity__instability"] == pytest.approx(2 / 3) and got["d"]["modularity__distance_main_sequence"] == 1.0
-    assert got["b"]["cycles__short__count"] == 1 and got["a"]["graph__betweenness"] == 3
+    assert got["shop"]["modularity__instability"] == pytest.approx(2 / 3) and got["log"]["modularity__distance_main_sequence"] == 1.0
+    assert got["stock"]["cycles__short__count"] == 1 and got["mail"]["graph__betweenness"] == 3
 
 
 def test_other_views(analysis):
     total = {r["name"]: r["value"] for r in analysis.view("summary").collect()}
     assert [float(total[k]) for k in ("complexity__files", "complexity__lines", "component_count", "connection_count", "directory_count")] == [5, 21, 4, 7, 4]
     assert float(total["modularity__component__declarations"]) == 5 and float(total["modularity__component__imports"]) == 7
-    assert {r["name"]: r["complexity__files"] for r in analysis.view("directories").collect()} == {"a": 2, "b": 1, "c": 1, "d": 1}
+    assert {r["name"]: r["complexity__files"] for r in analysis.view("directories").collect()} == {"shop": 2, "stock": 1, "mail": 1, "log": 1}
     files = {r["name"]: (r["directory"], r["component"]) for r in analysis.view("files").collect()}
-    assert files["a/a_1"] == ("a", "a")
+    assert files["shop/cart"] == ("shop", "shop")
     groups = {r["component"]: r["group_size"] for r in analysis.view("component_strongly_connected_groups").collect()}
-    assert groups == {"a": 3, "b": 3, "c": 3, "d": 1}
+    assert groups == {"shop": 3, "stock": 3, "mail": 3, "log": 1}
     assert analysis.view("component_cycles_shortest").count() == 4 + 3
-    assert {r["component"] for r in analysis.view("component_communities").collect()} == set("abcd")
+    assert {r["component"] for r in analysis.view("component_communities").collect()} == {"shop", "stock", "mail", "log"}
     assert analysis.view("definitions").count() == 13
     with pytest.raises(ValueError):
         analysis.view("nothing")
@@ -73,13 +75,62 @@ def test_extension_hooks(spark, tree):
 
     a = Engine(spark, [snippets_extension(PATTERNS), Mine(), PackExtension(builtin_pack("java"))]).analyze(filetree.read_tree(spark, tree))
     assert a.view("mine").first()[0] == 5
-    assert {r["name"]: r["weight"] for r in a.view("directories").collect()} == {"a": 39, "b": 39, "c": 26, "d": 12}
+    sizes = {n: max(len(c) for p, c in TREE.items() if p.startswith(n)) for n in ("shop", "stock", "mail", "log")}
+    assert {r["name"]: r["weight"] for r in a.view("directories").collect()} == sizes
+    # the same accumulator makes the total
+    assert {r["name"]: r["value"] for r in a.view("summary").collect()}["weight"] == str(float(max(sizes.values())))
+
+
+def test_packs_that_only_count_or_go_by_folder(spark, tree):
+    files = filetree.read_tree(spark, tree)
+    only = Pack("units", "**", (PATTERNS[0],), only_stats=True)
+    a = Engine(spark, [PackExtension(only)]).analyze(files)
+    assert a.view("snippets").count() == 0
+    assert {r["name"]: r["modularity__component__declarations"] for r in a.view("files").collect()} == dict.fromkeys(TREE, 1)
+    some = Engine(spark, [PackExtension(Pack("p", "**", tuple(PATTERNS), by_directory=True))]).analyze(files)
+    assert {(r["file"], r["component"]) for r in some.snippets.collect()} == {(p, p.split("/")[0]) for p in TREE}
+    few = Engine(spark, [PackExtension(Pack("p", "**", (PATTERNS[1],), limit=1))]).analyze(files)
+    assert few.snippets.where("file = 'stock/count'").count() == 1
+
+
+def test_history_in_the_views(spark, tree):
+    """Counts are of the parts of all files of a row, each commit and author once; files without a commit have none."""
+    rows = [
+        ("shop", "c1", dt.datetime(2024, 12, 30), "shop/cart", "Ann", 5, 1), ("shop", "c1", dt.datetime(2024, 12, 30), "shop/list", "Ann", 2, 0),
+        ("shop", "c2", dt.datetime(2024, 10, 1), "shop/cart", "Bo", 1, 1), ("", "c3", dt.datetime(2024, 12, 31), "stock/count", "Ann", None, None),
+    ]
+    parts = spark.createDataFrame(rows, "repo string, commit_hash string, commit_time timestamp, file string, author string, additions int, deletions int")
+    parts = parts.withColumn("component", F.lit(None).cast("string"))
+    a = Engine(spark, [snippets_extension(PATTERNS)], based_on="2025-01-01 00:00:00").analyze(filetree.read_tree(spark, tree), parts)
+    names = ["git__repository", "git__age_in_days", "git__commits__total", "git__authors__total", "git__additions__total", "git__commits__last_30_days", "git__unique_file_changes__total"]
+    of = lambda v: {r["name"]: tuple(r[c] for c in names) for r in a.view(v).collect()}
+    files, folders, units = of("files"), of("directories"), of("components")
+    assert files["shop/cart"] == ("shop", 92, 2, 2, 6, 1, 1) and files["log/all"] == ("", 0, 0, 0, 0, 0, 0)
+    # the ages of its two files differ, so the smaller one is the commonest
+    assert folders["shop"] == units["shop"] == ("shop", 2, 2, 2, 8, 1, 2) and units["log"] == ("", 0, 0, 0, 0, 0, 0)
+    total = {r["name"]: r["value"] for r in a.view("summary").collect()}
+    assert (total["git__commits__total"], total["git__authors__total"], total["git__additions__total"]) == ("3", "2", "8")
+
+
+def test_edges_there_or_not(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c")], "from string, to string")
+    pairs = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "c"), (None, "a"), ("a", "b")], "from string, to string")
+    got = sorted(((r["from"] or "", r["to"], r["from_to"], r["between"]) for r in graph.has_edges(edges, pairs).collect()))
+    assert got == [("", "a", False, False), ("a", "b", True, True), ("a", "b", True, True), ("a", "c", False, False), ("b", "a", False, True)]
+
+
+def test_definitions_from_files(tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "x.yaml").write_text("id: lines\nname: 'Lines of a file'\nshort: \"quoted \\\"so\\\"\"\nlong: |\n  first\n  second\nother: 1\n")
+    (tmp_path / "sub" / "y.yml").write_text("id: z\nlong: goes on\n  and on\n")
+    (tmp_path / "no.txt").write_text("id: no")
+    assert load_definitions(str(tmp_path)) == [("z", "", "", "goes on and on"), ("lines", "Lines of a file", 'quoted "so"', "first\nsecond")]
 
 
 def test_sorting(spark):
-    df = spark.createDataFrame([(10,), (30,), (40,), (20,), (50,), (70,), (60,), (None,)], "v long")
-    assert [r[0] for r in sort_view(df).collect()] == [70, 60, 50, 40, 30, 20, 10, None]
-    assert [r[0] for r in sort_view(spark.createDataFrame([("b",), ("a",)], "s string")).collect()] == ["a", "b"]
+    df = spark.createDataFrame([(7,), (None,), (3,), (11,), (5,)], "v long")
+    assert [r[0] for r in sort_view(df).collect()] == [11, 7, 5, 3, None]
+    assert [r[0] for r in sort_view(spark.createDataFrame([("pear",), ("fig",)], "s string")).collect()] == ["fig", "pear"]
 
 
 def test_view_selection():
@@ -122,14 +173,13 @@ def test_report_folder_is_replaced(spark, tmp_path):
 
 
 def test_walker(spark, tmp_path):
-    for p, c in {
-        "file1.txt": "", "file2.txt": "", "file3.ignore": "", ".gitignore": "*.ignore\n# no\n\n", "subdir1/.gitignore": "*.plsignore", "subdir1/file4.plsignore": "",
-        "subdir1/file3.ignore": "", "subdir1/file5.txt": "", "subdir2/.gitignore": "file7.txt", "subdir2/file6.csv": "", "subdir2/file7.txt": "", "x.plsignore": "", "sub dir/a+b%20c.txt": "",
-    }.items():
+    for p in ("top.md", "trash.tmp", "web/app.js", "web/trash.tmp", "web/style.gen", "doc/sheet.csv", "doc/old.md", "style.gen", "sub dir/a+b%20c.txt"):
         (tmp_path / p).parent.mkdir(exist_ok=True)
-        (tmp_path / p).write_text(c or "x")
+        (tmp_path / p).write_text("x")
+    for p, rules in {".gitignore": "*.tmp\n# no\n\n", "web/.gitignore": "*.gen", "doc/.gitignore": "old.md"}.items():
+        (tmp_path / p).write_text(rules)
     got = {r["path"] for r in filetree.read_tree(spark, str(tmp_path)).collect()}
-    assert got == {"./file1.txt", "./file2.txt", "./x.plsignore", "subdir1/file5.txt", "subdir2/file6.csv", "sub dir/a+b%20c.txt"}
+    assert got == {"./top.md", "./style.gen", "web/app.js", "doc/sheet.csv", "sub dir/a+b%20c.txt"}
 
 
 def test_rules(spark):
@@ -146,8 +196,9 @@ def test_command_line(tree, capsys, monkeypatch):
     from lodestrata import cli
 
     args = ["-f", tree, *[x for p in PATTERNS for x in ("-s", p)]]
-    assert cli.main([*args, "view", "component_connections_direct", "-o", "csv", "-c", "from", "-c", "to", "--no-header"]) == 0
-    assert capsys.readouterr().out.split() == ["a,b", "a,b", "a,c", "a,d", "b,c", "c,a"]
+    assert cli.main([*args, "view", "component_connections_direct", "-o", "csv", "-c", "from, to", "--no-header"]) == 0
+    lines = capsys.readouterr().out.split()
+    assert lines == ["mail,log", "mail,shop", "shop,mail", "shop,stock", "shop,stock", "stock,mail"]
     assert cli.main([*args, "view", "component_cycles_largest"]) == 1
 
 

@@ -6,11 +6,8 @@ from lodestrata.functions.text import glob_to_regex, indentation_max, indentatio
 from lodestrata.operators import extract, linking, packs
 from pyspark.sql import functions as F
 
-SAMPLE = b"\npackage aCoolPackage;\n\nimport something;\nfield aField1: int;\nfield aField2: int;\n\nfunction function1(){\n//comment\n}"
-PATTERNS = [
-    r"package (?P<packageDeclaration>[a-zA-Z]+);", r"import (?P<importStatement>[a-zA-Z]+);", r"field (?P<fieldDeclaration>\w+)",
-    r"function (?P<functionDeclaration>\w+\(\))",
-]
+SAMPLE = b"\nmodule shop;\n\nload stock;\nhas price: int;\nhas name: text;\n\ndo count(){\n//note\n}"
+PATTERNS = [r"module (?P<mod>[a-zA-Z]+);", r"load (?P<loaded>[a-zA-Z]+);", r"has (?P<part>\w+)", r"do (?P<deed>\w+\(\))"]
 
 
 def files(spark, rows):
@@ -21,11 +18,10 @@ def test_offsets(spark):
     out = extract.raw_snippets(files(spark, [("x.txt", SAMPLE), ("null", None), ("empty", b"")]), [extract.Pack("p", "**", tuple(PATTERNS))]).collect()
     got = [(r["snippet_type"], r["content"], r["begin_position"]["offset"], r["end_position"]["offset"]) for r in out]
     assert sorted(got, key=lambda r: r[2]) == [
-        ("packageDeclaration", "aCoolPackage", 9, 21), ("importStatement", "something", 31, 40), ("fieldDeclaration", "aField1", 48, 55),
-        ("fieldDeclaration", "aField2", 68, 75), ("functionDeclaration", "function1()", 92, 103),
+        ("mod", "shop", 8, 12), ("loaded", "stock", 20, 25), ("part", "price", 31, 36), ("part", "name", 47, 51), ("deed", "count()", 63, 70),
     ]
-    first = next(r for r in out if r["content"] == "aCoolPackage")
-    assert (first["begin_position"]["line"], first["begin_position"]["char_in_line"]) == (2, 9)
+    first = next(r for r in out if r["content"] == "shop")
+    assert (first["begin_position"]["line"], first["begin_position"]["char_in_line"]) == (2, 8)
 
 
 def test_offsets_are_bytes(spark):
@@ -66,10 +62,10 @@ def test_globs():
 JAVA = b"""package com.sample.models;
 import com.sample.http.*;
 import com.sample.id.Ids;
-import io.javalin.Javalin;
-import io.javalin.http.Context;
-import static io.io.io.member;
-import static io.io.io.*;
+import net.shop.Cart;
+import net.shop.list.Row;
+import static net.tools.Texts.join;
+import static net.tools.Texts.*;
 /* class NotAType { } */
 @Service("x")
 public abstract class Thing extends Base {
@@ -90,14 +86,14 @@ def test_java():
     for kind, _, _, value in found:
         got.setdefault(kind, []).append(value.decode())
     assert got[packs.DECLARATIONS] == ["com.sample.models"]
-    assert got[packs.IMPORTS] == ["com.sample.http", "com.sample.id", "io.javalin", "io.javalin.http", "io.io.io", "io.io.io"]
+    assert got[packs.IMPORTS] == ["com.sample.http", "com.sample.id", "net.shop", "net.shop.list", "net.tools.Texts", "net.tools.Texts"]
     assert got[packs.TYPES] == ["Thing", "Other", "Pair"] and got[packs.ABSTRACT] == ["Thing", "Other"]
     assert got["java__spring__service"] == ["Thing"] and got["java__method_declaration"] == ["get", "post", "call"]
     assert got["java__field__declaration"] == ["name", "a"]
     n = dict(counts)
     assert n["java__spring__services"] == 1 and n["java__spring__beans"] == 1
     assert n["java__spring__request_mappings__total"] == 2 and n["java__spring__request_mappings__get"] == 1 and n["java__spring__request_mappings__post"] == 1
-    assert packs.IMPORTS not in {k for k, *_ in packs.java(b"import java.util.List;\nimport javalin.x.Y;\n")[0]}
+    assert packs.IMPORTS not in {k for k, *_ in packs.java(b"import java.util.List;\nimport javatools.x.Y;\n")[0]}
 
 
 def test_csharp():
@@ -122,8 +118,8 @@ namespace Acme.Web.Controllers
 
 def test_linking(spark):
     raw = extract.raw_snippets(
-        files(spark, [("a/x", b"component a\ncomponent z\ndepends on b"), ("b/y", b"component b\ndepends on a\ndepends on nowhere"), ("q", b"depends on a")]),
-        [extract.Pack("p", "**", (r"component (?P<modularity__component__declarations>[a-z]+)", r"depends on (?P<modularity__component__imports>[a-z]+)"))],
+        files(spark, [("a/x", b"unit a\nunit z\nneeds b"), ("b/y", b"unit b\nneeds a\nneeds nowhere"), ("q", b"needs a")]),
+        [extract.Pack("p", "**", (r"unit (?P<modularity__component__declarations>[a-z]+)", r"needs (?P<modularity__component__imports>[a-z]+)"))],
     )
     s = linking.declared_components(raw)
     assert {(r["file"], r["component"]) for r in s.collect()} == {("a/x", "a"), ("b/y", "b"), ("q", "Unknown")}
@@ -131,8 +127,8 @@ def test_linking(spark):
 
 
 def test_directories(spark):
-    dirs = spark.createDataFrame([("a",), ("a/b/c",), ("a/b/c/d/e/f",), ("a/b/d",), ("a/e/f",), ("a/e/g",), (".",)], "directory string")
+    dirs = spark.createDataFrame([("src",), ("src/web/page/form",), ("src/db",), ("doc/img",), (".",)], "directory string")
     got = {r[0] for r in linking.closed_directories(dirs).collect()}
-    assert got == {"a", "a/b", "a/b/c", "a/b/c/d", "a/b/c/d/e", "a/b/c/d/e/f", "a/b/d", "a/e", "a/e/f", "a/e/g"}
+    assert got == {"src", "src/web", "src/web/page", "src/web/page/form", "src/db", "doc", "doc/img"}
     snippets = spark.createDataFrame([("a/b/f",), ("a/bc/f",), ("r",)], "file string")
     assert {tuple(r) for r in linking.directory_files(snippets).collect()} == {("a", "a/b/f"), ("a/b", "a/b/f"), ("a", "a/bc/f"), ("a/bc", "a/bc/f")}
