@@ -14,9 +14,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestrata.session import checkpointed
+
 #: Leaves of one tree; a power of two.
 LEAVES = 256
 EPOCH = "1970-01-01"
@@ -212,61 +214,160 @@ def rolling_totals(
     return shards.mapInArrow(answer, schema)
 
 
-def build_forest(daily: DataFrame, value: str, reach: int = 32) -> DataFrame:
-    """The trees of one value as a table: ``entity, shard, nodes`` (node 1 the root, leaves from 256 on), to be written."""
-    shards, own = _shards(daily, [value], reach, gaps=False, least_active=0)
-    types = {f.name: f.dataType.simpleString() for f in shards.schema.fields}
+#: Name of the counts in a stored forest, beside the sums of the values.
+ROWS = "rows"
+#: Folders that a stored forest is parted into; a correction rewrites those that its trees are in.
+FOLDERS = 256
+
+
+def _own_and_shard(reach: int) -> tuple[int, Column]:
+    own = LEAVES - reach
+    return own, F.floor(F.col("day") / own).cast("int")
 
-    def plant(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            base = np.zeros((len(pdf), LEAVES), dtype=np.int64)
-            for i, (shard, leaves) in enumerate(zip(pdf["shard"], pdf["leaves"], strict=True)):
-                for x in leaves:
-                    base[i, x["day"] - (shard * own - reach)] += x[value]
-            yield pd.DataFrame({"entity": pdf["entity"], "shard": pdf["shard"], "nodes": list(SegmentForest(base).nodes)})
 
-    return shards.mapInPandas(plant, f"entity {types['entity']}, shard int, nodes array<long>")
+def _homes(reach: int) -> Column:
+    """The shards that hold a day: its own, and the next one if it is in the head of that."""
+    own, shard = _own_and_shard(reach)
+    return F.when(F.col("day") >= (shard + 1) * own - reach, F.array(shard, shard + 1)).otherwise(F.array(shard))
 
 
-def correct_forest(forest: DataFrame, corrections: DataFrame, reach: int = 32) -> DataFrame:
-    """``forest`` after late corrections ``entity, day, delta``: only corrected leaves and their ancestors change.
+def build_forest(daily: DataFrame, values: Sequence[str], reach: int = 32) -> DataFrame:
+    """Trees as a table: ``entity, shard, value, nodes`` (node 1 the root, leaves from LEAVES on), to be written.
 
-    Corrections of one day add up before they travel. A correction for a shard that has no tree yet plants one.
+    ``daily`` has any number of rows per ``entity`` and ``day`` with whole-number ``values``. There is a tree of sums for each
+    value and one of the numbers of rows (ROWS). Rows of one day add up before they travel; null values are 0, and rows
+    with null ``day`` are left out.
     """
-    own = LEAVES - reach
-    types = {f.name: f.dataType.simpleString() for f in forest.schema.fields}
-    day, shard = F.col("day"), F.floor(F.col("day") / own).cast("int")
-    homes = F.when(day >= (shard + 1) * own - reach, F.array(shard, shard + 1)).otherwise(F.array(shard))
+    return correct_forest(None, daily.withColumn(ROWS, F.lit(1)), values, reach)
+
+
+def correct_forest(forest: DataFrame | None, corrections: DataFrame, values: Sequence[str], reach: int = 32) -> DataFrame:
+    """The trees of ``forest`` that ``corrections`` change, after them: only corrected leaves and their ancestors differ.
+
+    ``corrections`` has ``entity, day``, the differences of the ``values`` and of the number of rows (ROWS); those of one day add
+    up before they travel. A correction for a shard without a tree plants one. The other trees are not touched, nor
+    returned: the caller puts these in the place of the old ones (:func:`upsert_forest`).
+    """
+    own, _ = _own_and_shard(reach)
+    names = [*values, ROWS]
+    summed = (
+        corrections.where(F.col("day").isNotNull())
+        .groupBy("entity", F.col("day").cast("int").alias("day"))
+        .agg(*[F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0)).cast("long").alias(c) for c in names])
+    )
     late = (
-        corrections.groupBy("entity", "day")
-        .agg(F.sum(F.col("delta").cast("long")).alias("delta"))
-        .select("entity", F.explode(homes).alias("shard"), F.struct("day", "delta").alias("late"))
+        summed.select("entity", F.explode(_homes(reach)).alias("shard"), F.struct("day", *names).alias("late"))
         .groupBy(F.col("entity").alias("l_entity"), F.col("shard").alias("l_shard"))
         .agg(F.collect_list("late").alias("late"))
+        .select("*", F.explode(F.array(*[F.lit(c) for c in names])).alias("l_value"))
     )
-    met = forest.join(
-        late, F.col("entity").eqNullSafe(F.col("l_entity")) & (F.col("shard") == F.col("l_shard")), "full_outer"
-    ).select(
-        F.when(F.col("shard").isNull(), F.col("l_entity")).otherwise(F.col("entity")).alias("entity"),
-        F.coalesce("shard", "l_shard").alias("shard"),
-        "nodes",
-        "late",
-    )
+    kind = corrections.schema["entity"].dataType.simpleString()
+    if forest is None:
+        met = late.withColumn("nodes", F.lit(None).cast("array<long>"))
+    else:
+        same = F.col("entity").eqNullSafe(F.col("l_entity")) & (F.col("shard") == F.col("l_shard")) & (F.col("value") == F.col("l_value"))
+        met = late.join(forest.select("entity", "shard", "value", "nodes"), same, "left")
+    met = met.select(F.col("l_entity").alias("entity"), F.col("l_shard").alias("shard"), F.col("l_value").alias("value"), "nodes", "late")
 
     def correct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             nodes = []
-            for shard_, old, late_ in zip(pdf["shard"], pdf["nodes"], pdf["late"], strict=True):
+            for shard, value, old, late_ in zip(pdf["shard"], pdf["value"], pdf["nodes"], pdf["late"], strict=True):
                 f = SegmentForest(np.zeros((1, LEAVES), dtype=np.int64))
                 if old is not None:
                     f.nodes[0] = old
-                if late_ is not None and len(late_):
-                    leaf = np.array([x["day"] - (shard_ * own - reach) for x in late_])
-                    f.correct(np.zeros(len(leaf), dtype=int), leaf, np.array([x["delta"] for x in late_]))
+                leaf = np.array([x["day"] - (shard * own - reach) for x in late_])
+                f.correct(np.zeros(len(leaf), dtype=int), leaf, np.array([x[value] for x in late_]))
                 nodes.append(f.nodes[0])
-            yield pd.DataFrame({"entity": pdf["entity"], "shard": pdf["shard"], "nodes": nodes})
+            yield pd.DataFrame({"entity": pdf["entity"], "shard": pdf["shard"], "value": pdf["value"], "nodes": nodes})
+
+    return met.mapInPandas(correct, f"entity {kind}, shard int, value string, nodes array<long>")
 
-    return met.mapInPandas(correct, f"entity {types['entity']}, shard int, nodes array<long>")
+
+def trailing_totals(forest: DataFrame, queries: DataFrame, length: int, reach: int = 32) -> DataFrame:
+    """``entity, day, value, total`` of the ``length`` days that end with each ``day`` of ``queries`` (``entity, day``).
+
+    A range is answered by O(log n) nodes of one stored tree; without a tree it is 0 of each value that the forest has for no
+    shard of the query, so such queries give no rows.
+    """
+    if length > reach:
+        raise ValueError("the period reaches back beyond the heads of the trees")
+    own, shard = _own_and_shard(reach)
+    asked = queries.select(F.col("entity").alias("q_entity"), F.col("day").cast("int").alias("day"))
+    met = asked.join(forest, F.col("q_entity").eqNullSafe(F.col("entity")) & (shard == F.col("shard"))).select("entity", "day", "shard", "value", "nodes")
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            nodes = batch.column("nodes").flatten().to_numpy().reshape(n, 2 * LEAVES)
+            end = batch.column("day").to_numpy().astype(np.int64) - (batch.column("shard").to_numpy().astype(np.int64) * own - reach)
+            left, right = end - length + 1 + LEAVES, end + 1 + LEAVES
+            total, rows = np.zeros(n, dtype=np.int64), np.arange(n)
+            while (live := left < right).any():
+                take = live & (left & 1 == 1)
+                total[take] += nodes[rows[take], left[take]]
+                left = np.where(take, left + 1, left)
+                take = live & (right & 1 == 1)
+                right = np.where(take, right - 1, right)
+                total[take] += nodes[rows[take], right[take]]
+                left, right = left >> 1, right >> 1
+            cols = [batch.column("entity"), batch.column("day"), batch.column("value"), pa.array(total)]
+            yield pa.RecordBatch.from_arrays(cols, ["entity", "day", "value", "total"])
+
+    kind = forest.schema["entity"].dataType.simpleString()
+    return met.mapInArrow(answer, f"entity {kind}, day int, value string, total long")
+
+
+def _folder() -> Column:
+    return F.pmod(F.xxhash64("entity", "shard"), F.lit(FOLDERS)).cast("int")
+
+
+def write_forest(forest: DataFrame, path: str) -> None:
+    """The trees under ``path``, parted into FOLDERS folders."""
+    forest.withColumn("folder", _folder()).repartition("folder").write.mode("overwrite").partitionBy("folder").parquet(path)
+
+
+def upsert_forest(spark: SparkSession, path: str, corrections: DataFrame, values: Sequence[str], reach: int = 32) -> None:
+    """Applies ``corrections`` to the trees written under ``path``; only folders with a corrected tree are read and written."""
+    stored = spark.read.parquet(path)
+    changed = checkpointed(correct_forest(stored, corrections, values, reach).withColumn("folder", _folder()))
+    # at most FOLDERS numbers
+    folders = [r["folder"] for r in changed.select("folder").distinct().collect()]
+    if not folders:
+        return
+    key = ["entity", "shard", "value"]
+    new = changed.select(*[F.col(c).alias(f"n_{c}") for c in key])
+    same = F.col("entity").eqNullSafe(F.col("n_entity")) & (F.col("shard") == F.col("n_shard")) & (F.col("value") == F.col("n_value"))
+    kept = stored.where(F.col("folder").isin(folders)).join(new, same, "left_anti")
+    # read before its folders are replaced
+    whole = checkpointed(kept.select(*key, "nodes", "folder").unionByName(changed.select(*key, "nodes", "folder")))
+    whole.repartition("folder").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder").parquet(path)
+
+
+def deliveries(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The daily rows of the first delivery of each (commit_hash, file), and the differences that the last one makes to them.
+
+    Both have ``entity, day, additions, deletions``, the second also ROWS. Rows without file or commit_time are left out.
+    """
+    at = F.coalesce(F.col("loaded_at"), F.lit("0001-01-01").cast("timestamp_ntz").cast(parts.schema["loaded_at"].dataType))
+    columns = ("commit_time", "additions", "deletions")
+    both = checkpointed(
+        parts.where(F.col("file").isNotNull())
+        .groupBy("commit_hash", "file")
+        .agg(*[F.min_by(c, at).alias(f"f_{c}") for c in columns], *[F.max_by(c, at).alias(f"l_{c}") for c in columns])
+    )
+
+    def side(p: str, sign: int) -> Column:
+        amounts = [(sign * F.coalesce(F.col(f"{p}_{c}"), F.lit(0)).cast("long")).alias(c) for c in ("additions", "deletions")]
+        return F.struct(epoch_day(F.col(f"{p}_commit_time")).alias("day"), *amounts, F.lit(sign).alias(ROWS))
+
+    fields = [F.col("x")[c].alias(c) for c in ("day", "additions", "deletions", ROWS)]
+    first = both.select(F.col("file").alias("entity"), side("f", 1).alias("x")).select("entity", *fields).drop(ROWS)
+    differ = F.lit(False)
+    for c in columns:
+        differ = differ | ~F.col(f"f_{c}").eqNullSafe(F.col(f"l_{c}"))
+    late = both.where(differ).select(F.col("file").alias("entity"), F.explode(F.array(side("f", -1), side("l", 1))).alias("x")).select("entity", *fields)
+    return first.where(F.col("day").isNotNull()), late.where(F.col("day").isNotNull())
 
 
 def day_text(day: Column) -> Column:
@@ -294,3 +395,21 @@ def bursts(parts: DataFrame) -> DataFrame:
     return out.where(
         (F.col("active_days_30") >= 5) & (F.col("churn_30") >= 200) & (F.col("churn_7") * 5 >= F.col("churn_30") * 4)
     ).select(F.col("entity").alias("file"), day_text(F.col("day")).alias("day"))
+
+
+def last_month(parts: DataFrame) -> DataFrame:
+    """``file, day, additions_30, deletions_30, commits_30`` of the 30 days up to the last active day of each file.
+
+    Trees are built of the first delivery of each commit, late deliveries correct them, and stored trees give the answers.
+    """
+    values = ("additions", "deletions")
+    first, late = deliveries(parts)
+    base = checkpointed(build_forest(first, values))
+    changed = checkpointed(correct_forest(base, late, values))
+    new = changed.select(*[F.col(c).alias(f"n_{c}") for c in ("entity", "shard", "value")])
+    same = F.col("entity").eqNullSafe(F.col("n_entity")) & (F.col("shard") == F.col("n_shard")) & (F.col("value") == F.col("n_value"))
+    forest = base.join(new, same, "left_anti").unionByName(changed)
+    ends = daily_activity(parts).groupBy("entity").agg(F.max("day").alias("day"))
+    total = lambda v: F.sum(F.when(F.col("value") == v, F.col("total"))).alias(f"{v}_30")
+    out = trailing_totals(forest, ends, 30).groupBy("entity", "day").agg(total("additions"), total("deletions"), total(ROWS))
+    return out.select(F.col("entity").alias("file"), day_text(F.col("day")).alias("day"), "additions_30", "deletions_30", F.col(f"{ROWS}_30").alias("commits_30"))

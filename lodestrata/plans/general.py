@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.operators.rolling import bursts, file_rolling
+from lodestrata.operators.rolling import bursts, file_rolling, last_month
 from lodestrata.operators.skew import heavy_keys, per_key_totals, tagged
 from lodestrata.operators.snapshots import report_changes
 from lodestrata.sources.tables import table
@@ -21,6 +21,11 @@ def p3_rolling(spark: SparkSession, d: str) -> DataFrame:
     return file_rolling(table(spark, d, "commit_parts"))
 
 
+def p3_corrected(spark: SparkSession, d: str) -> DataFrame:
+    """The last 30 days of each file from trees that late deliveries have corrected."""
+    return last_month(table(spark, d, "commit_parts"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return report_changes(table(spark, d, "view_rows"))
 
@@ -52,6 +57,7 @@ def p5_totals(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found,
     "p3_rolling": p3_rolling,
+    "p3_corrected": p3_corrected,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_totals": p5_totals,
@@ -86,6 +92,10 @@ SELECT file, strftime(d, '%Y-%m-%d') AS day, CAST(a7 AS BIGINT) AS additions_7,
   CAST(a30 AS BIGINT) AS additions_30, CAST(x30 AS BIGINT) AS deletions_30,
   ROUND(a7 / 7.0, 6)::DOUBLE AS additions_avg_7, ROUND(x7 / 7.0, 6)::DOUBLE AS deletions_avg_7,
   ROUND(a30 / 30.0, 6)::DOUBLE AS additions_avg_30, ROUND(x30 / 30.0, 6)::DOUBLE AS deletions_avg_30 FROM rolled""",
+    "p3_corrected": f"""WITH {_DAILY}, ends AS (SELECT file, MAX(CAST(commit_time AS DATE)) AS l FROM valid GROUP BY 1)
+SELECT e.file, strftime(e.l, '%Y-%m-%d') AS day, CAST(SUM(COALESCE(additions, 0)) AS BIGINT) AS additions_30,
+  CAST(SUM(COALESCE(deletions, 0)) AS BIGINT) AS deletions_30, COUNT(*) AS commits_30
+FROM ends e JOIN valid v ON v.file = e.file AND CAST(v.commit_time AS DATE) BETWEEN e.l - 29 AND e.l GROUP BY e.file, e.l""",
     "p4_found": """WITH reports AS (
   SELECT database_name, report_id, MAX(scan_time) AS t FROM view_rows GROUP BY 1, 2),
 seqs AS (

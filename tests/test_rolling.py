@@ -1,19 +1,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import numpy as np
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+import pytest
+
 from lodestrata.operators.rolling import (
-    LEAVES,
-    SegmentForest,
-    build_forest,
-    bursts,
-    correct_forest,
-    daily_activity,
-    rolling_totals,
+    LEAVES, SegmentForest, build_forest, bursts, correct_forest, daily_activity, last_month, rolling_totals, trailing_totals, upsert_forest, write_forest
 )
 
 PARTS = "commit_hash string, file string, commit_time timestamp, additions int, deletions int, loaded_at timestamp, entity int, day string"
@@ -78,15 +75,56 @@ def test_bursts_and_empty(spark):
     assert bursts(spark.createDataFrame([], PARTS)).count() == 0
 
 
-def test_forest_table_with_late_corrections(spark):
-    daily = spark.createDataFrame([("a", 10, 1), ("a", 230, 2), ("b", 5, 3)], "entity string, day int, v long")
-    late = spark.createDataFrame([("a", 230, 5), ("a", 230, 1), ("c", 7, 4)], "entity string, day int, delta long")
-    fixed = spark.createDataFrame([("a", 10, 1), ("a", 230, 8), ("b", 5, 3), ("c", 7, 4)], "entity string, day int, v long")
+DAILY = "entity string, day int, v long"
+LATE = "entity string, day int, v long, rows long"
+
 
-    def nodes(df):
-        return {(r["entity"], r["shard"]): r["nodes"] for r in df.collect() if any(r["nodes"])}
+def nodes(df):
+    return {(r["entity"], r["shard"], r["value"]): r["nodes"] for r in df.collect() if any(r["nodes"])}
 
-    got = nodes(correct_forest(build_forest(daily, "v"), late))
-    want = nodes(build_forest(fixed, "v"))
-    # a correction may open the head of a shard that no later day needs yet
-    assert {k: v for k, v in got.items() if k in want} == want and all(len(v) == 2 * LEAVES for v in got.values())
+
+def test_forest_table_with_late_corrections(spark):
+    daily = spark.createDataFrame([("a", 10, 1), ("a", 230, 2), ("b", 5, 3), (None, 9, 2), ("a", None, 5)], DAILY)
+    late = spark.createDataFrame([("a", 230, 5, 0), ("a", 230, 1, 1), ("c", 7, 4, 1)], LATE)
+    fixed = spark.createDataFrame([("a", 10, 1), ("a", 230, 8), ("a", 230, 0), ("b", 5, 3), (None, 9, 2), ("c", 7, 4)], DAILY)
+    base = build_forest(daily, ["v"])
+    changed = nodes(correct_forest(base, late, ["v"]))
+    # only the trees of corrected days come back
+    assert {k[:2] for k in changed} == {("a", 1), ("c", 0)} and all(len(v) == 2 * LEAVES for v in changed.values())
+    assert nodes(base) | changed == nodes(build_forest(fixed, ["v"]))
+    assert build_forest(daily.limit(0), ["v"]).count() == 0 and correct_forest(base, late.limit(0), ["v"]).count() == 0
+
+
+def test_ranges_of_stored_trees_against_plain_sums(spark):
+    rng = random.Random(6)
+    data = [(rng.choice("abc"), rng.randrange(900), rng.randrange(50)) for _ in range(400)]
+    forest = build_forest(spark.createDataFrame(data, DAILY), ["v"])
+    asked = sorted({(rng.choice("abc"), rng.randrange(900)) for _ in range(200)})
+    for length in (1, 7, 30, 32):
+        got = {(r["entity"], r["day"], r["value"]): r["total"] for r in trailing_totals(forest, spark.createDataFrame(asked, "entity string, day int"), length).collect()}
+        for e, d in asked:
+            inside = [v for x, y, v in data if x == e and d - length < y <= d]
+            assert got.get((e, d, "v"), 0) == sum(inside) and got.get((e, d, "rows"), 0) == len(inside)
+    with pytest.raises(ValueError):
+        trailing_totals(forest, spark.createDataFrame(asked, "entity string, day int"), 33)
+
+
+def test_stored_trees_are_corrected_in_their_folders_only(spark, tmp_path):
+    path = str(tmp_path / "forest")
+    data = [(f"e{i}", d, i) for i in range(40) for d in (3, 500)]
+    write_forest(build_forest(spark.createDataFrame(data, DAILY), ["v"]), path)
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "forest").rglob("*.parquet")}
+    upsert_forest(spark, path, spark.createDataFrame([("e7", 3, 100, 1), ("new", 3, 9, 1)], LATE), ["v"])
+    after = {f: f.stat().st_mtime_ns for f in (tmp_path / "forest").rglob("*.parquet")}
+    assert 1 <= len(before.keys() - after.keys()) <= 2 and all(after[f] == t for f, t in before.items() if f in after)
+    fixed = spark.createDataFrame([*data, ("e7", 3, 100), ("new", 3, 9)], DAILY)
+    assert nodes(spark.read.parquet(path)) == nodes(build_forest(fixed, ["v"]))
+    upsert_forest(spark, path, spark.createDataFrame([], LATE), ["v"])
+    assert nodes(spark.read.parquet(path)) == nodes(build_forest(fixed, ["v"]))
+
+
+def test_last_month_of_corrected_deliveries(spark):
+    t = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
+    data = [("c1", "f", t(0), 10, 1, t(1), 0, ""), ("c2", "f", t(40), 5, 0, t(41), 0, ""), ("c2", "f", t(40), 7, None, t(60), 0, ""), ("c3", "f", t(45), 1, 1, t(46), 0, ""), ("c3", "f", t(12), 1, 1, t(61), 0, "")]
+    assert [tuple(r) for r in last_month(spark.createDataFrame(data, PARTS)).collect()] == [("f", "2024-02-10", 8, 1, 2)]
+    assert last_month(spark.createDataFrame([], PARTS)).count() == 0
