@@ -17,15 +17,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.session import checkpointed
+
 #: Items of one item block; a larger basket is cut into blocks.
 ITEM_BLOCK = 1024
 #: Products gathered in a task before they are summed.
 GATHER = 1 << 21
 #: Summed partial counts that a task holds before it hands them on.
 HOLD = 1 << 22
+#: Hashes that are tried for ids that no two items share.
+SEEDS = 4
 #: Large baskets that are broadcast; 24 bytes each.
 BROADCAST_ROWS = 200_000
 
@@ -42,6 +46,11 @@ class Bounds:
 DEFAULT = Bounds()
 
 
+def item_hash(seed: int) -> Column:
+    """The id of an item inside its cell."""
+    return F.xxhash64(F.lit(seed), "item")
+
+
 def item_rows(parts: DataFrame) -> DataFrame:
     """``scope, basket, kind, item`` of ``scope, basket, file, component``: files and components by commit.
 
@@ -86,7 +95,10 @@ def _products(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (c, a, b, k)], ["cell", "a", "b", "n_ab"])
 
     def multiply(cell, item, n, side, starts):
-        """Cells of the products of the baskets that begin at ``starts``, a bounded number at a time."""
+        """Cells of the products of the baskets that begin at ``starts``, a bounded number at a time.
+
+        The product is symmetric, so only its upper half is made.
+        """
         sizes = np.diff(starts)
         at = 0
         while at < len(sizes):
@@ -95,15 +107,16 @@ def _products(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.Reco
             take = max(1, int(np.searchsorted(work, GATHER, side="right")))
             lo, hi = starts[at], starts[at + take]
             size = sizes[at : at + take]
-            left = np.repeat(np.arange(lo, hi), np.repeat(size, size))
-            first = np.repeat(np.repeat(starts[at : at + take], size), np.repeat(size, size))
-            run = np.arange(len(left)) - np.repeat(np.cumsum(np.repeat(size, size)) - np.repeat(size, size), np.repeat(size, size))
-            right = first + run
+            ends = np.repeat(starts[at + 1 : at + take + 1], size)
+            rows = np.arange(lo, hi)
+            # each row with the later rows of its basket: every pair once
+            later = ends - rows - 1
+            left = np.repeat(rows, later)
+            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(later) - later, later)
             i, j = item[left], item[right]
             near = (n[left] <= share * n[right]) & (n[right] <= share * n[left])
-            cross = (side[left] == 1) & (side[right] == 2)
-            within = np.isin(side[left], (0, 3)) & (i < j)
-            ok = near & (within | cross)
+            # rows of two item blocks are multiplied across only
+            ok = near & ((side[left] != side[right]) | (side[left] == 0) | (side[left] == 3))
             left, i, j = left[ok], i[ok], j[ok]
             low, high = np.minimum(i, j), np.maximum(i, j)
             if len(low):
@@ -169,26 +182,29 @@ def pair_counts(
     ``rows`` has ``scope, basket, kind, item`` with ``basket`` a 64-bit id, ``per_basket`` has ``scope, basket, n_rows``
     of every basket. Pairs are counted between items of one scope and kind. Returns ``cell, a, b, n_ab`` over all pairs
     that can still be a case, and ``cell, id, kind, item, n_item, n_baskets`` of their items. Ids are 64-bit hashes inside
-    a cell; two items of one cell with the same id raise an error instead of being mixed up.
+    a cell, and cells are 64-bit hashes, too; should two items of one cell share an id, another hash is taken.
     """
-    cell = F.hash("scope", "kind").alias("cell")
-    rows = rows.select("scope", "kind", "basket", "item", cell, F.xxhash64("item").alias("id"))
-    incidence = rows.select("cell", "basket", "id").distinct()
-    # Names travel once per task and item, not with every row; text is a key here, as an aggregate of text would sort.
-    distinct_names = rows.groupBy("scope", "kind", "item").agg(F.first("cell").alias("cell"), F.first("id").alias("id"))
-    names = distinct_names.groupBy("cell", "id").agg(
-        F.min("scope").alias("scope"), F.min("kind").alias("kind"), F.min("item").alias("item"), F.count(F.lit(1)).alias("_names")
-    )
+    for seed in range(SEEDS):
+        cell = F.xxhash64(F.lit(seed), "scope", "kind").alias("cell")
+        hashed = rows.select("scope", "kind", "basket", "item", cell, item_hash(seed).alias("id"))
+        # Names travel once per task and item, not with every row; text is a key here, as an aggregate of text would sort.
+        distinct_names = hashed.groupBy("scope", "kind", "item").agg(F.first("cell").alias("cell"), F.first("id").alias("id"))
+        names = checkpointed(
+            distinct_names.groupBy("cell", "id").agg(
+                F.min("scope").alias("scope"), F.min("kind").alias("kind"), F.min("item").alias("item"), F.count(F.lit(1)).alias("_names")
+            )
+        )
+        if names.where(F.col("_names") > 1).isEmpty():
+            break
+    else:
+        raise ValueError("items share their ids under every hash")
+    incidence = hashed.select("cell", "basket", "id").distinct()
     totals = per_basket.groupBy(F.col("scope").alias("b_scope")).agg(F.count(F.lit(1)).alias("n_baskets"))
     sizes = incidence.groupBy("cell", "id").agg(F.count(F.lit(1)).alias("n_item")).where(F.col("n_item") >= bounds.least)
-    one_name = F.when(F.col("_names") == 1, True).otherwise(
-        F.raise_error(F.lit("two items share an id")).cast("boolean")
-    )
     items = (
         names.join(sizes, ["cell", "id"])
         .join(totals, F.col("scope").eqNullSafe(F.col("b_scope")))
         .where(F.col("n_item") * bounds.lift <= F.col("n_baskets"))
-        .where(one_name)
         .select("cell", "id", "kind", "item", "n_item", "n_baskets")
     )
     thin = incidence.join(items.select("cell", "id", F.col("n_item").cast("int").alias("n")), ["cell", "id"])
@@ -225,7 +241,7 @@ def pair_counts(
     partial = None
     for rows_of_blocks in blocks:
         one = rows_of_blocks.sortWithinPartitions("cell", "basket", "part").mapInArrow(
-            run, "cell int, a long, b long, n_ab long"
+            run, "cell long, a long, b long, n_ab long"
         )
         partial = one if partial is None else partial.unionByName(one)
     counts = partial.groupBy("cell", "a", "b").agg(F.sum("n_ab").alias("n_ab")).where(F.col("n_ab") >= bounds.least)

@@ -68,5 +68,17 @@ def test_frequent_items_are_pruned_without_loss(spark):
     assert run(frame(spark, rows), Bounds(), 1024) == brute(rows, Bounds()) == [(("file", "a", "b"), (6, 6, 6, 40))]
 
 
+def test_items_that_share_an_id_are_told_apart(spark, monkeypatch):
+    from lodestrata.llm import cooccurrence
+
+    right = cooccurrence.item_hash
+    monkeypatch.setattr(cooccurrence, "item_hash", lambda seed: right(seed) % 2 if seed < 2 else right(seed))
+    rows = [("r", f"c{c}", f"f{f}", None) for c in range(8) for f in range(5) if (c + f) % 3]
+    assert run(frame(spark, rows), LOW, 1024) == brute(rows, LOW) != []
+    monkeypatch.setattr(cooccurrence, "item_hash", lambda seed: right(seed) % 2)
+    with pytest.raises(ValueError):
+        run(frame(spark, rows), LOW, 1024)
+
+
 def test_empty(spark):
     assert together(frame(spark, [])).count() == 0
