@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.metrics import age_in_days, percentage
 from lodestrata.functions.text import ancestors, directory_of
+from lodestrata.session import checkpointed
 
 #: Days of the buckets; a commit is in every bucket at least as long as its age.
 BUCKETS = (30, 90, 180)
+#: Keys of one commit that are paired in one task; of more, the task's share is that many by all of them.
+TOGETHER = 2000
 
 
 def reference_time(based_on: dt.datetime | str) -> Column:
@@ -145,7 +148,8 @@ def shared_commits(parts: DataFrame, key: str, based_on: dt.datetime | str, buck
 
     ``pair_1, pair_2, shared_commits``, the percentages of each one's commits, and the same by bucket; a percentage of
     nothing is null. ``keys`` (column ``key``) limits which keys are paired. Null keys are not. Each commit and key is one
-    row before the join; the counts of a pair are summed in the map tasks.
+    row before the join; the counts of a pair are summed in the map tasks. A commit of more than TOGETHER keys is parted: its
+    keys meet in as many tasks as it has parts, each pair in one of them.
     """
     rows = with_age(parts.where(F.col(key).isNotNull() & F.col("commit_hash").isNotNull()), based_on)
     rows = rows.groupBy(F.col(key).alias("key"), "commit_hash").agg(F.min("age").alias("age"))
@@ -156,9 +160,24 @@ def shared_commits(parts: DataFrame, key: str, based_on: dt.datetime | str, buck
     def tally(name: str) -> list[Column]:
         return [F.count(_inside(F.lit(1), d)).alias(f"{name}_{d or 'all'}") for d in days]
 
-    a = rows.select(F.col("key").alias("a"), "commit_hash", "age")
-    b = rows.select(F.col("key").alias("b"), F.col("commit_hash").alias("b_commit"))
-    pairs = a.join(b, (F.col("commit_hash") == F.col("b_commit")) & (F.col("a") < F.col("b"))).groupBy("a", "b").agg(*tally("n"))
+    def paired(a: DataFrame, b: DataFrame, parts: Sequence[str] = ()) -> DataFrame:
+        a = a.select(F.col("key").alias("a"), "commit_hash", "age", *parts)
+        b = b.select(F.col("key").alias("b"), F.col("commit_hash").alias("b_commit"), *[F.col(c).alias(f"b_{c}") for c in parts])
+        met = (F.col("commit_hash") == F.col("b_commit")) & (F.col("a") < F.col("b"))
+        for c in parts:
+            met = met & (F.col(c) == F.col(f"b_{c}"))
+        return a.join(b, met).select("a", "b", "age")
+
+    large = rows.groupBy("commit_hash").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("parts")).where(F.col("parts") > 1)
+    large = checkpointed(large)
+    if large.isEmpty():
+        pairs = paired(rows, rows)
+    else:
+        small, parted = rows.join(large, "commit_hash", "left_anti"), rows.join(large, "commit_hash")
+        left = parted.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+        right = parted.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        pairs = paired(small, small).unionByName(paired(left, right, ["part"]))
+    pairs = pairs.groupBy("a", "b").agg(*tally("n"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), *[c for c in pairs.columns if c not in "ab"]))
     totals = rows.groupBy("key").agg(*tally("t"))
     t1 = totals.select(F.col("key").alias("a"), *[F.col(f"t_{d or 'all'}").alias(f"t1_{d or 'all'}") for d in days])

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(cpus: int = 8, memory: str = "8g", app: str = "lodestrata") -> SparkSession:
     """A local session with the settings the engine expects; on a cluster the submitter sets these."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.driver.memory", memory)
@@ -18,11 +21,26 @@ def build_session(cpus: int = 8, memory: str = "8g", app: str = "lodestrata") ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.host", "127.0.0.1")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the package to the workers, wherever they run; once a session."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lodestrata_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="lodestrata-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    package = Path(__file__).resolve().parent
+    sc.addPyFile(shutil.make_archive(f"{folder}/lodestrata", "zip", package.parent, package.name))
+    sc._lodestrata_shipped = True
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -40,6 +58,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="lodestrata-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
     sc.setCheckpointDir(shared)
     return shared
 

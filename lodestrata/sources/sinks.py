@@ -29,13 +29,12 @@ def shown(v: object) -> str:
 
 def render(df: DataFrame, how: str = "table", header: bool = True) -> Iterator[str]:
     """Lines of text: ``table``, ``csv``, ``tsv``, ``json`` or ``ndjson``. Rows are fetched a partition at a time."""
-    rows = df.toLocalIterator()
     if how in ("csv", "tsv"):
         out = io.StringIO()
         writer = csv.writer(out, delimiter="," if how == "csv" else "\t", lineterminator="\n")
         for row in ([df.columns] if header else []):
             writer.writerow(row)
-        for r in rows:
+        for r in df.toLocalIterator():
             writer.writerow([shown(v) for v in r])
             yield from out.getvalue().splitlines()
             out.seek(0)
@@ -46,14 +45,29 @@ def render(df: DataFrame, how: str = "table", header: bool = True) -> Iterator[s
         as_text = (r["j"] for r in without_nan(df).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator())
         if how == "ndjson":
             yield from as_text
-        else:
-            yield "[" + ",\n".join(as_text) + "]"
+            return
+        # each row is held until it is known whether another one follows
+        before, last = "[", None
+        for text in as_text:
+            if last is not None:
+                yield f"{before}{last},"
+                before = ""
+            last = text
+        yield f"{before}{last or ''}]"
     elif how == "table":
-        lines = [[c.upper() for c in df.columns]] if header else []
-        lines += [[shown(v) for v in r] for r in rows]
-        widths = [max((len(x[i]) for x in lines), default=0) for i in range(len(df.columns))]
-        for x in lines:
-            yield "  ".join(v.ljust(w) for v, w in zip(x, widths, strict=True)).rstrip()
+        # the widths first, then the rows, so that they are not held
+        kept = df.persist()
+        try:
+            names = [c.upper() for c in df.columns]
+            widths = [len(c) if header else 0 for c in names]
+            for r in kept.toLocalIterator():
+                widths = [max(w, len(shown(v))) for w, v in zip(widths, r, strict=True)]
+            if header:
+                yield "  ".join(c.ljust(w) for c, w in zip(names, widths, strict=True)).rstrip()
+            for r in kept.toLocalIterator():
+                yield "  ".join(shown(v).ljust(w) for v, w in zip(r, widths, strict=True)).rstrip()
+        finally:
+            kept.unpersist()
     else:
         raise ValueError(f"there is no format {how!r}")
 

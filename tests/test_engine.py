@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import os
+import pathlib
 import sqlite3
 import subprocess
+import sys
 
 import pytest
 
@@ -149,7 +152,8 @@ def test_formats(spark):
     assert list(sinks.render(df, "tsv"))[0] == "name\tv"
     assert [json.loads(x) for x in sinks.render(df, "ndjson")] == [{"name": "x,y", "v": 1.5}, {"name": None, "v": None}]
     assert json.loads("\n".join(sinks.render(df.limit(0), "json"))) == []
-    assert next(iter(sinks.render(df, "table"))).split() == ["NAME", "V"]
+    assert json.loads("\n".join(sinks.render(df, "json"))) == [{"name": "x,y", "v": 1.5}, {"name": None, "v": None}]
+    assert list(sinks.render(df, "table")) == ["NAME  V", "x,y   1.5", "-     nan"] and list(sinks.render(df.limit(0), "table")) == ["NAME  V"]
     with pytest.raises(ValueError):
         list(sinks.render(df, "xml"))
 
@@ -212,3 +216,19 @@ def test_real_history(spark, tmp_path):
 
     out = gitlog.commit_parts(gitlog.raw_commits(gitlog.read_logs(spark, str(tmp_path)))).collect()
     assert [(r["file"], r["additions"], r["author"], r["message"]) for r in out] == [("a b.txt", 2, "Ann", "first -- one")]
+
+
+def test_workers_have_the_package(tmp_path):
+    """A session started elsewhere runs Python stages of this package."""
+    code = (
+        "import sys; sys.path.insert(0, sys.argv[1])\n"
+        "from lodestrata import build_session\n"
+        "from lodestrata.operators.extract import Pack, raw_snippets\n"
+        "s = build_session(cpus=1)\n"
+        "f = s.createDataFrame([('a', bytearray(b'xy'))], 'path string, content binary')\n"
+        "print(raw_snippets(f, [Pack('p', '**', ('(?P<t>x)',))]).count())\n"
+    )
+    root = str(pathlib.Path(__file__).resolve().parent.parent)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code, root], cwd=tmp_path, capture_output=True, text=True, env=env, timeout=180, check=False)
+    assert out.stdout.split()[-1:] == ["1"], out.stderr[-2000:]

@@ -74,3 +74,14 @@ def test_ratios(spark):
     assert [r[0] for r in df.select(abstractness(F.col("a"), F.col("n"))).collect()] == [0.0, 1.0, 0.5, 1.0]
     assert [r[0] for r in df.select(instability(F.col("a"), F.col("n"))).collect()] == [0.0, 0.0, 2 / 3, 2 / 7]
     assert df.select(distance_main_sequence(F.lit(0.0), F.lit(0.0))).first()[0] == 1.0
+
+
+def test_pairs_of_large_commits_come_once(spark, monkeypatch):
+    rows = [(f"f{i:02}", "big", "2024-12-20") for i in range(25)] + [(f"f{i:02}", f"c{i % 3}", "2024-01-01") for i in range(12)]
+    parts = spark.createDataFrame(rows, "file string, commit_hash string, day string").withColumn("commit_time", F.col("day").cast("timestamp"))
+    get = lambda: sorted(map(tuple, history.shared_commits(parts, "file", "2025-01-01").collect()))
+    want = get()
+    assert len(want) == 25 * 24
+    for size in (1, 4, 10):
+        monkeypatch.setattr(history, "TOGETHER", size)
+        assert get() == want
