@@ -393,22 +393,14 @@ def named_files(commit_parts: DataFrame, snippets: DataFrame, files: DataFrame)
 
     Files that are gone are judged by their path. The counts are what statistics lose by leaving the file out.
     """
-    parts = commit_parts.groupBy(F.col("file").alias("path")).agg(F.count(F.lit(1)).alias("commit_rows"))
-    snips = snippets.groupBy(F.col("file").alias("path")).agg(F.count(F.lit(1)).alias("snippet_rows"))
-    counts = parts.join(snips, "path", "full_outer").where(F.col("path").isNotNull())
-    known = files.where(F.col("path").isNotNull()).select("path", "content")
-    everything = counts.join(known, "path", "full_outer").select(
-        "path", "content", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("commit_rows", "snippet_rows")]
+    def named(rows: DataFrame, count: str) -> DataFrame:
+        return rows.where(F.col("file").isNotNull()).groupBy(F.col("file").alias("path")).agg(F.count(F.lit(1)).alias(count))
+
+    counts = named(commit_parts, "commit_rows").join(named(snippets, "snippet_rows"), "path", "full_outer")
+    # contents are judged where they are read; only the paths that are there and the reasons meet the counts
+    there = files.where(F.col("path").isNotNull()).select("path").distinct()
+    gone = counts.join(there, "path", "left_anti").select("path", F.lit(None).cast("binary").alias("content"))
+    why = not_handwritten(files).unionByName(not_handwritten(gone))
+    return why.join(counts, "path", "left").select(
+        "path", "reason", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("commit_rows", "snippet_rows")]
     )
-    names = ["path", "reason", "commit_rows", "snippet_rows"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            why = [
-                reason(p, c)
-                for p, c in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True)
-            ]
-            cols = [batch.column("path"), pa.array(why, pa.string()), batch.column("commit_rows"), batch.column("snippet_rows")]
-            yield pa.RecordBatch.from_arrays(cols, names).filter(cols[1].is_valid())
-
-    return everything.mapInArrow(run, "path string, reason string, commit_rows long, snippet_rows long")
