@@ -86,8 +86,8 @@ def compiled(patterns: list[str]) -> list[re.Pattern]:
 
 
 _NAME = rb"[A-Za-z_$][\w$]*"
-_J_PACKAGE = re.compile(rb"^[ \t]*package\s+((?:%s\s*\.\s*)+%s)\s*;" % (_NAME, _NAME), re.MULTILINE)
-_J_IMPORT = re.compile(rb"^[ \t]*import\s+(static\s+)?((?:%s\s*\.\s*)*%s)\s*(\.\s*\*)?\s*;" % (_NAME, _NAME), re.MULTILINE)
+_J_PACKAGE = re.compile(rb"^(?:\xef\xbb\xbf)?[ \t]*package\s+((?:%s\s*\.\s*)+%s)\s*;" % (_NAME, _NAME), re.MULTILINE)
+_J_IMPORT = re.compile(rb"^(?:\xef\xbb\xbf)?[ \t]*import\s+(static\s+)?((?:%s\s*\.\s*)*%s)\s*(\.\s*\*)?\s*;" % (_NAME, _NAME), re.MULTILINE)
 _J_TYPE = re.compile(rb"((?:@%s(?:\.%s)*(?:\s*\([^()]*(?:\([^()]*\)[^()]*)*\))?\s+|\b(?:public|protected|private|static|final|abstract|sealed|non-sealed|strictfp)\s+)*)(?<![\w$.@])(class|interface|record)\s+(%s)" % (_NAME, _NAME, _NAME))
 _J_ANNOTATION = re.compile(rb"@(%s)\b\s*(\([^()]*(?:\([^()]*\)[^()]*)*\))?" % _NAME)
 _J_METHOD = re.compile(
@@ -202,7 +202,7 @@ def java(source: bytes, ignored: tuple[str, ...] = JAVA_IGNORED) -> tuple[list[F
 
 
 _C_NAMESPACE = re.compile(rb"\bnamespace\s+(%s(?:\s*\.\s*%s)*)\s*(?=\{)" % (_NAME, _NAME))
-_C_USING = re.compile(rb"^[ \t]*(?:global\s+)?using\s+(?:static\s+)?(?:(%s)\s*=\s*)?(%s(?:\s*\.\s*%s)*)\s*;" % (_NAME, _NAME, _NAME), re.MULTILINE)
+_C_USING = re.compile(rb"^(?:\xef\xbb\xbf)?[ \t]*(?:global\s+)?using\s+(?:static\s+)?(?:(%s)\s*=\s*)?(%s(?:\s*\.\s*%s)*)\s*;" % (_NAME, _NAME, _NAME), re.MULTILINE)
 _C_TYPE = re.compile(rb"((?:\b(?:public|protected|private|internal|static|sealed|abstract|partial|readonly|ref|unsafe|new)\s+)*)(?<![\w$.@])(class|struct|interface|record(?:\s+(?:class|struct))?)\s+(%s)(?=\s*[<:({;]|\s+where\b)" % _NAME)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import metrics as M
 from lodestrata.functions.text import ancestors, directory_of
 from lodestrata.operators import extract, graph, history, linking, stats
-from lodestrata.operators.packs import ABSTRACT, DECLARATIONS, IMPORTS, TYPES
+from lodestrata.operators.packs import ABSTRACT, DECLARATIONS, IMPORTS, JAVA_IGNORED, TYPES
 from lodestrata.plans import engine
 from lodestrata.sources import filetree, gitlog
 from lodestrata.sources.tables import table
@@ -258,6 +258,18 @@ def snippets_regex(s, d):
     )
 
 
+def _of_pack(name, kinds):
+    """Declarations, imports and types of a pack with their places, in the files that declare a component."""
+
+    def query(s, d):
+        rows = extract.raw_snippets(table(s, d, "source_files"), [extract.builtin_pack(name)]).where(F.col("snippet_type").isin(*kinds))
+        declared = rows.where(F.col("snippet_type") == DECLARATIONS).select("file").distinct()
+        places = [F.col(f"{e}_position.{f}").alias(f"{e}_{f}") for e in ("begin", "end") for f in ("offset", "line", "char_in_line")]
+        return rows.join(declared, "file", "left_semi").select("file", "snippet_type", "content", *places).distinct()
+
+    return query
+
+
 def snippets_all_packs(s, d):
     return extract.raw_snippets(table(s, d, "source_files"), _packs())
 
@@ -382,7 +394,9 @@ QUERIES = {
         authors_buckets, commits_flat, repo_stats, git_file_stats, oldest_age, component_repository, repository_of_file,
         parts_with_components, cycle_shared_commits, git_log_parse, ignore_filter, sort_view, view_projection, mode_repo,
     )
-} | {f"shared_commits_{k}": _shared(k) for k in ("component", "directory", "file")}
+} | {f"shared_commits_{k}": _shared(k) for k in ("component", "directory", "file")} | {
+    f"snippets_{k}": _of_pack(k, (DECLARATIONS, IMPORTS, ABSTRACT, TYPES)) for k in ("java", "csharp", "php")
+}
 
 _CONN = f"""conn AS (
   SELECT component AS f, content AS t, file FROM snippets
@@ -539,6 +553,15 @@ pr AS (SELECT r.k AS x, q.k AS y, {tally} FROM r JOIN r q ON r.commit_hash = q.c
 SELECT x AS pair_1, y AS pair_2, {', '.join(cols)} FROM pr p JOIN tot a ON a.k = x JOIN tot b ON b.k = y"""
 
 
+def _pack_sql(ending: str, ignored: str = "") -> str:
+    """The snippets that the table of snippets has of the files with an ending that declare a component."""
+    places = ", ".join(f"{e}_position.{f} AS {e}_{f}" for e in ("begin", "end") for f in ("offset", "line", "char_in_line"))
+    kinds = ", ".join(f"'{k}'" for k in (DECLARATIONS, IMPORTS, ABSTRACT, TYPES))
+    left_out = f"AND NOT (snippet_type = '{IMPORTS}' AND regexp_matches(content, '{ignored}'))" if ignored else ""
+    return f"""SELECT DISTINCT file, snippet_type, content, {places} FROM snippets
+WHERE ends_with(file, '{ending}') AND snippet_type IN ({kinds}) {left_out} AND file IN (SELECT file FROM snippets WHERE snippet_type = '{DECLARATIONS}')"""
+
+
 _FIVE = ["commits", "additions", "deletions", "unique_file_changes", "unique_component_changes"]
 SQL = {
     "conn_direct": f'WITH {_CONN} SELECT f AS "from", t AS "to", file, COUNT(*) AS reference_count FROM conn GROUP BY ALL',
@@ -680,6 +703,9 @@ FROM c LEFT JOIN h ON h.cycle = c.cycle GROUP BY 1, 2""",
     "git_log_parse": f"""WITH {_PARTS} SELECT repo, COUNT(*) AS parts, COUNT(DISTINCT commit_hash) AS commits, COUNT(DISTINCT file) AS files,
   CAST(SUM(COALESCE(additions, 0)) AS BIGINT) AS additions, CAST(SUM(COALESCE(deletions, 0)) AS BIGINT) AS deletions, MAX(CAST(floor(epoch(commit_time)) AS BIGINT)) AS last
 FROM parts WHERE file IS NOT NULL GROUP BY 1""",
+    "snippets_java": _pack_sql(".java", "^(" + "|".join(JAVA_IGNORED) + ")"),
+    "snippets_csharp": _pack_sql(".cs"),
+    "snippets_php": _pack_sql(".php"),
     "snippets_regex": f"""WITH t AS (SELECT path, content, CAST(regexp_replace(hex(content), '(..)', '\\1 ', 'g') AS VARCHAR) AS h FROM source_files WHERE content IS NOT NULL)
 SELECT s.file, s.content, s.begin_position.offset AS begin, s.end_position.offset AS "end", s.begin_position.line AS line
 FROM (SELECT DISTINCT * FROM snippets) s WHERE snippet_type = '{DECLARATIONS}' AND regexp_matches(file, '\\.(kt|scala|php)$')""",

@@ -96,6 +96,11 @@ def test_java():
     assert packs.IMPORTS not in {k for k, *_ in packs.java(b"import java.util.List;\nimport javatools.x.Y;\n")[0]}
 
 
+def test_byte_order_marks_do_not_hide_the_first_line():
+    assert packs.java(b"\xef\xbb\xbfpackage a.b;\n")[0][0] == (packs.DECLARATIONS, 11, 14, b"a.b")
+    assert packs.csharp(b"\xef\xbb\xbfusing A.B;\n")[0][0] == (packs.IMPORTS, 9, 12, b"A.B")
+
+
 def test_csharp():
     code = b"""using System;
 using A = Some.Thing;
