@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,6 +149,12 @@ def scc_group_couplings(s, d):
     return out.select("component", "group", "group_size", *[f"group__modularity__coupling__{c}" for c in names])
 
 
+def scc_group_core(s, d):
+    """The metrics inside the groups without what only converges (PageRank, HITS)."""
+    out = scc_group_metrics(s, d)
+    return out.drop(*[f"group__graph__{c}" for c in ("page_rank", "hits__hub_score", "hits__authority_score")])
+
+
 def community_metrics(s, d):
     return _rounded(graph.group_metrics(_conn(s, d), graph.communities(_edges(s, d)), "community_nr", "community__"))
 
@@ -388,7 +396,7 @@ QUERIES = {
     for f in (
         conn_direct, conn_edges_distinct, couplings, instability_distance, predecessors_direct, successors_direct, dist_all_pairs,
         dist_by_level, reachability_all, indirect_paths, furthest, scc, shortest_cycles, cycles_per_component, elementary_cycles,
-        largest_cycle, closeness, betweenness, pagerank_20, hits_20, communities, scc_group_metrics, scc_group_couplings, community_metrics,
+        largest_cycle, closeness, betweenness, pagerank_20, hits_20, communities, scc_group_metrics, scc_group_core, scc_group_couplings, community_metrics,
         file_lines, indentation, file_stats_pivot, component_stats, dir_rollup, summary, files_view, directories_view, components_git, only_stats_counts, edge_predicates, snippets_view, components_view, components_core, definitions,
         snippets_regex, snippets_all_packs, language_stats, declared_components, directory_components, directory_closure, path_ancestors,
         authors_buckets, commits_flat, repo_stats, git_file_stats, oldest_age, component_repository, repository_of_file,
@@ -502,6 +510,31 @@ members AS (
   SELECT name, dense_rank() OVER (ORDER BY head) - 1 AS g, COUNT(*) OVER (PARTITION BY head) AS size FROM heads)"""
 
 
+def _inside(ctes: str) -> str:
+    """The same common tables over the edges inside the groups, with a 2 to their names."""
+    return re.sub(r"\b(e|walk|dist|paths|mutual|best|raw_cycles|cyc)\b", r"\g<1>2", ctes[len(_CONN) :].lstrip(",\n"))
+
+
+def _group_core_sql() -> str:
+    return f"""WITH RECURSIVE {_SCC},
+e2 AS (SELECT e.f, e.t FROM e JOIN members a ON a.name = e.f JOIN members b ON b.name = e.t AND b.g = a.g),
+{_inside(_CYCLES)},
+inner_conn AS (SELECT c.* FROM conn c JOIN members a ON a.name = c.f JOIN members b ON b.name = c.t AND a.g = b.g),
+i AS (SELECT t AS name, COUNT(DISTINCT file) AS ca, COUNT(DISTINCT f) AS din FROM inner_conn GROUP BY 1),
+o AS (SELECT f AS name, COUNT(DISTINCT file) AS ce, COUNT(DISTINCT t) AS dout FROM inner_conn GROUP BY 1),
+cc AS (SELECT name, COUNT(*) AS n, AVG(k) AS a, MAX(k) AS m FROM (SELECT UNNEST(list_append(m, m[1])) AS name, len(m) AS k FROM cyc2) GROUP BY 1),
+sg AS (SELECT src, dst, d, COUNT(*) AS w FROM paths2 WHERE src <> dst GROUP BY ALL),
+bt AS (SELECT x.dst AS name, SUM(x.w * y.w / z.w::DOUBLE) AS v FROM sg x JOIN sg y ON y.src = x.dst JOIN sg z ON z.src = x.src AND z.dst = y.dst AND z.d = x.d + y.d GROUP BY 1),
+cl AS (SELECT dst AS name, SUM(1.0 / d) AS h, SUM(d) AS f, SUM(pow(2.0, -d)) AS r FROM dist2 GROUP BY 1)
+SELECT x.name AS component, x.g AS "group", x.size AS group_size, COALESCE(ca, 0) AS group__modularity__coupling__afferent,
+  COALESCE(ce, 0) AS group__modularity__coupling__efferent, COALESCE(din, 0) AS group__modularity__coupling__dependents,
+  COALESCE(dout, 0) AS group__modularity__coupling__dependencies, COALESCE(cc.n, 0) AS group__cycles__short__count,
+  ROUND(COALESCE(cc.a, 0), 6)::DOUBLE AS group__cycles__short__avg, COALESCE(cc.m, 0) AS group__cycles__short__max,
+  ROUND(COALESCE(bt.v, 0), 6)::DOUBLE AS group__graph__betweenness, ROUND(COALESCE(cl.h, 0), 6)::DOUBLE AS group__graph__harmonic_centrality,
+  COALESCE(cl.f, 0)::DOUBLE AS group__graph__farness_centrality, ROUND(COALESCE(cl.r, 0), 6)::DOUBLE AS group__graph__residual_closeness
+FROM members x LEFT JOIN i USING (name) LEFT JOIN o USING (name) LEFT JOIN cc USING (name) LEFT JOIN bt USING (name) LEFT JOIN cl USING (name)"""
+
+
 def _pagerank_sql(rounds: int = 20) -> str:
     ctes = [
         f"WITH RECURSIVE {_CONN}, deg AS (SELECT f, COUNT(*) AS k FROM e GROUP BY 1), n AS (SELECT COUNT(*) AS n FROM names)",
@@ -585,6 +618,7 @@ SELECT name, ROUND(a::DOUBLE, 6) AS abstractness, ROUND(i::DOUBLE, 6) AS instabi
   array_to_string(p, ' -> ') AS furthest_component_shortest_path FROM paths
 QUALIFY row_number() OVER (PARTITION BY src ORDER BY d DESC, p) = 1""",
     "scc": f'WITH RECURSIVE {_SCC} SELECT name AS component, g AS "group", size AS group_size FROM members',
+    "scc_group_core": _group_core_sql(),
     "scc_group_couplings": f"""WITH RECURSIVE {_SCC},
 inner_conn AS (SELECT c.* FROM conn c JOIN members a ON a.name = c.f JOIN members b ON b.name = c.t AND a.g = b.g),
 i AS (SELECT t AS name, COUNT(DISTINCT file) AS ca, COUNT(DISTINCT f) AS din FROM inner_conn GROUP BY 1),
