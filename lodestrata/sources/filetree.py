@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,24 +57,50 @@ def rule(line: str, scope: str = "") -> Rule | None:
     return Rule(f"{head}{out}{'/' if folder else '(?:$|/)'}", negated, scope)
 
 
-def read_rules(root: str, rebase: bool = False) -> list[Rule]:
-    """The rules of all ignore files under ``root``.
+def _rule_files(root: str, spark: SparkSession | None) -> Iterator[tuple[str, str]]:
+    """Folder (relative to ``root``, ``''`` for itself) and text of each ignore file, folder by folder.
+
+    A folder of this machine is walked as it is; one of a file system that Spark knows (``scheme://``) through that.
+    """
+    if "://" not in root:
+        for here, folders, files in os.walk(root):
+            folders.sort()
+            scope = os.path.relpath(here, root)
+            for name in IGNORE_FILES:
+                if name in files:
+                    with open(os.path.join(here, name), encoding="utf-8", errors="replace") as f:
+                        yield "" if scope == "." else scope, f.read()
+        return
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    system = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = system.getFileStatus(top).getPath().toUri().getPath().rstrip("/")
+    todo = [top]
+    while todo:
+        found = list(system.listStatus(todo.pop()))
+        for st in sorted(found, key=lambda x: IGNORE_FILES.index(x.getPath().getName()) if x.getPath().getName() in IGNORE_FILES else -1):
+            if st.isFile() and st.getPath().getName() in IGNORE_FILES:
+                stream = system.open(st.getPath())
+                try:
+                    text = bytes(stream.readAllBytes()).decode("utf-8", "replace")
+                finally:
+                    stream.close()
+                yield st.getPath().getParent().toUri().getPath()[len(base) + 1 :], text
+        todo += sorted((x.getPath() for x in found if x.isDirectory() and x.getPath().getName() != ".git"), key=str, reverse=True)
+
+
+def read_rules(root: str, rebase: bool = False, spark: SparkSession | None = None) -> list[Rule]:
+    """The rules of all ignore files under ``root``; ``spark`` is needed for other file systems than this machine's.
 
     A rule holds in the folder of its file and below. It is matched against the path from the root, or with ``rebase``
     against the path from that folder.
     """
     out = []
-    for here, folders, files in os.walk(root):
-        folders.sort()
-        scope = os.path.relpath(here, root)
-        scope = "" if scope == "." else scope
-        for name in IGNORE_FILES:
-            if name in files:
-                with open(os.path.join(here, name), encoding="utf-8", errors="replace") as f:
-                    for line in f.read().splitlines():
-                        r = rule(line, scope)
-                        if r:
-                            out.append(Rule(f"rebase:{r.regex}" if rebase and scope else r.regex, r.negated, scope))
+    for scope, text in _rule_files(root, spark):
+        for line in text.splitlines():
+            r = rule(line, scope)
+            if r:
+                out.append(Rule(f"rebase:{r.regex}" if rebase and scope else r.regex, r.negated, scope))
     return out
 
 
@@ -93,15 +120,20 @@ def ignored(path: Column, rules: list[Rule]) -> Column:
 
 
 def read_tree(spark: SparkSession, root: str, rebase: bool = False) -> DataFrame:
-    """``path, content`` of all files under ``root`` that are not ignored; paths from the root, files at it as ``./x``."""
-    base = os.path.abspath(root)
+    """``path, content`` of all files under ``root`` that are not ignored; paths from the root, files at it as ``./x``.
+
+    ``root`` is a folder of this machine, or of any file system that Spark reads (``scheme://``).
+    """
+    base = root.rstrip("/") if "://" in root else os.path.abspath(root)
+    # paths come with the scheme, written with one slash or three where there is no host
+    inside = re.sub(r"^file:/*", "/", base)
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(base)
         .select(F.regexp_replace("path", r"^file:/+", "/").alias("full"), "content")
     )
-    relative = F.col("full").substr(F.lit(len(base.rstrip("/")) + 2), F.length("full"))
-    rows = files.select(relative.alias("path"), "content").where(~ignored(F.col("path"), read_rules(base, rebase)))
+    relative = F.col("full").substr(F.lit(len(inside.rstrip("/")) + 2), F.length("full"))
+    rows = files.select(relative.alias("path"), "content").where(~ignored(F.col("path"), read_rules(base, rebase, spark)))
     rows = rows.where(~F.col("path").startswith(".git/") & ~F.col("path").contains("/.git/"))
     return rows.select(F.when(F.col("path").contains("/"), F.col("path")).otherwise(F.concat(F.lit("./"), "path")).alias("path"), "content")

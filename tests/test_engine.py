@@ -184,6 +184,10 @@ def test_walker(spark, tmp_path):
         (tmp_path / p).write_text(rules)
     got = {r["path"] for r in filetree.read_tree(spark, str(tmp_path)).collect()}
     assert got == {"./top.md", "./style.gen", "web/app.js", "doc/sheet.csv", "sub dir/a+b%20c.txt"}
+    # the same by the file system that Spark knows
+    other = filetree.read_tree(spark, f"file://{tmp_path}")
+    assert {r["path"] for r in other.collect()} == got
+    assert filetree.read_rules(f"file://{tmp_path}", True, spark) == filetree.read_rules(str(tmp_path), True)
 
 
 def test_rules(spark):
