@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -61,6 +63,31 @@ def test_one_of_many_rows_of_a_key_changes(spark):
     assert changes(spark, before + [row("b", 2, k, lines=n) for k in keys for n in [*reversed(range(20)), 3]]) == []
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_sets_of_one_to_forty_rows_a_key(spark, seed):
+    """Any one row replaced, added or left out of the rows of a key is seen; order and repetition are not."""
+    rng = random.Random(seed)
+    data, want = [], []
+    for k in range(400):
+        held = rng.sample(range(10_000), rng.randint(1, 40))
+        later = list(held)
+        kind = rng.choice(("same", "replaced", "more", "less"))
+        if kind == "replaced":
+            later[rng.randrange(len(later))] = 20_000 + k
+        elif kind == "more":
+            later.append(20_000 + k)
+        elif kind == "less" and len(later) > 1:
+            later.pop(rng.randrange(len(later)))
+        else:
+            kind = "same"
+        rng.shuffle(later)
+        data += [("s", "r1", at(1), f"k{k}", v) for v in held] + [("s", "r2", at(2), f"k{k}", v) for v in later + later[: rng.randint(0, 3)]]
+        want += [] if kind == "same" else [f"k{k}"]
+    df = spark.createDataFrame(data, "s string, r string, t timestamp, k string, v int")
+    got = sorted((x["r"], x["k"], x["change"]) for x in snapshot_changes(df, "s", "r", "t", ("k",), ("v",)).collect())
+    assert got == sorted(("r2", k, "changed") for k in want)
+
+
 @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.integers(0, 4), st.sampled_from("abc"), st.one_of(st.none(), st.integers(0, 1))), max_size=25))
 def test_against_brute_force(spark, data):
