@@ -8,7 +8,7 @@ in the language (a compressor of bytes prices a new character like a common one)
 line stays as it is unless a chain saves more than it costs; what is won is examined again until nothing saves.
 
 What a word can become and its compressed size are kept by word, so the work grows with the different words, not with the
-text. Dictionaries come from a bounded sample of the texts, frequencies from all of them; every text is examined, whole.
+text. Dictionaries and frequencies come from all texts of every language; every text is examined, whole.
 """
 
 from __future__ import annotations
@@ -29,10 +29,12 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.common import spread
 
-#: Texts per language that the dictionaries are trained on, at most; and the most languages with a dictionary.
-SAMPLE_TEXTS, SAMPLE_LANGUAGES = 3000, 32
-#: Characters of the longest text that is taken for training; so a sample has a bound in bytes, too.
-SAMPLE_LENGTH = 20_000
+#: Texts per language of a sample, at most, its most languages, and the characters of its longest text; see :func:`sampled`.
+SAMPLE_TEXTS, SAMPLE_LANGUAGES, SAMPLE_LENGTH = 3000, 32, 20_000
+#: Characters of a language that a task trains on, about; and the dictionaries of parts of a language that are merged at once.
+AT_ONCE, MERGED = 32_000_000, 32
+#: Bytes of the pieces that the contents of dictionaries are cut to where they are merged: about a line.
+PIECE = 64
 #: Bytes of a dictionary, and the level of compression.
 DICTIONARY_BYTES, LEVEL = 96_000, 12
 #: Bytes that a chain costs: the first mistake, and each further one. A line is changed when it saves more.
@@ -81,6 +83,8 @@ WRITTEN = "written as codes"
 #: Words, lines and versions that a task remembers.
 REMEMBERED = 200_000
 _BEYOND_ASCII = re.compile(r"[^\x00-\x7f]")
+#: The last three numbers of the tables of a trained dictionary.
+_TABLES_END = b"".join(x.to_bytes(4, "little") for x in (1, 4, 8))
 #: Letters of two scripts side by side.
 _MIXED = re.compile(r"[A-Za-z][\u0370-\u04ff]|[\u0370-\u04ff][A-Za-z]")
 _ENTITY = re.compile(r"&(?:#\d{2,6}|#[xX][0-9a-fA-F]{2,5}|[A-Za-z]{2,8}\d{0,2});")
@@ -592,27 +596,43 @@ def train(samples: dict[str, list[str]]) -> dict[str, tuple[bytes, dict[str, int
     return {lang: (data, known[lang].counts) for lang, texts in samples.items() if (data := dictionary(texts, known[lang]))}
 
 
-def dictionary(texts: Sequence[str], known: Known) -> bytes:
+def dictionary(texts: Iterable[str], known: Known) -> bytes:
     """A dictionary of the texts of one language without a sign of wrong decoding and without rare characters."""
-    import zstandard
-
     mistakes = Mistakes()
-    clean = [t for t in texts if looks_right(t, mistakes, known.common) and known.rare.isdisjoint(t)]
+    clean = (t for t in texts if looks_right(t, mistakes, known.common) and known.rare.isdisjoint(t))
     page = Page(known.counts)
+    # the trainer looks at eight bytes at a time
     lines = [page.encode(x) for t in clean for x in t.split("\n") if len(x) > 7]
-    size = min(DICTIONARY_BYTES, max(1024, sum(map(len, lines)) // 8))
+    return trained(lines, min(DICTIONARY_BYTES, max(1024, sum(map(len, lines)) // 8)))
+
+
+def trained(lines: list[bytes], size: int) -> bytes:
+    """A dictionary of all the lines: none is kept back to test it."""
+    import zstandard
+
     try:
-        data = zstandard.train_dictionary(size, lines).as_bytes()
+        data = zstandard.train_dictionary(size, lines, split_point=1.0, d=8, steps=4).as_bytes()
     except zstandard.ZstdError:  # too little to train on
         data = b"".join(lines)[-DICTIONARY_BYTES:]
     return data if len(data) >= 8 else b""
 
 
+def merged(parts: Sequence[bytes]) -> bytes:
+    """One dictionary of those of the parts of a language: what many of them hold is kept first."""
+    parts = [p for p in parts if p]
+    if len(parts) < 2:
+        return parts[0] if parts else b""
+    # a trained dictionary has its tables first, which end with the numbers 1, 4 and 8
+    ends = [p.find(_TABLES_END, 0, 512) for p in parts]
+    texts = [p[at + len(_TABLES_END) :] if at >= 0 else p for p, at in zip(parts, ends, strict=True)]
+    return trained([x for t in texts for i in range(0, len(t), PIECE) if len(x := t[i : i + PIECE]) > 7], max(map(len, parts)))
+
+
 def sampled(documents: DataFrame, per_language: int = SAMPLE_TEXTS) -> DataFrame:
     """``lang, text``: about ``per_language`` texts of each of the most frequent languages, the same ones for the same table.
 
-    The sample serves the dictionaries only. Its texts have 40 to SAMPLE_LENGTH characters and are whole; they are chosen by
-    a hash of id and text.
+    For a look at a large table; no model comes from it (see :func:`fitted`). Its texts have 40 to SAMPLE_LENGTH characters
+    and are whole; they are chosen by a hash of id and text.
     """
     size = F.length("text")
     rows = documents.where(F.col("lang").isNotNull() & (size > 40) & (size <= SAMPLE_LENGTH))
@@ -625,21 +645,38 @@ def sampled(documents: DataFrame, per_language: int = SAMPLE_TEXTS) -> DataFrame
     return rows.where(take).select("lang", "text")
 
 
-def fitted(documents: DataFrame) -> dict[str, tuple[bytes, dict[str, int]]]:
-    """The models of an :class:`Examiner`: a dictionary and the counts of characters of each language.
+def fitted(documents: DataFrame, at_once: int = AT_ONCE) -> dict[str, tuple[bytes, dict[str, int]]]:
+    """The models of an :class:`Examiner`: a dictionary and the counts of characters of each language, from all its texts.
 
-    The dictionary of a language is trained by the task that has its sample, DICTIONARY_BYTES of each go to the driver.
+    A task trains on all texts of a language, or of one of its parts by hash where it has more than ``at_once`` characters;
+    the dictionaries of the parts are merged, MERGED at once, until there is one. So neither the order of the rows nor their
+    partitions matter. DICTIONARY_BYTES of each language go to the driver.
     """
     known = statistics(documents)
     shared = documents.sparkSession.sparkContext.broadcast(known)
+    rows = documents.where(F.col("lang").isNotNull() & (F.col("text") != "")).select("doc_id", "lang", "text")
+    sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()
+    parts = {r["lang"]: -(-r["n"] // at_once) for r in sizes if r["n"] > at_once}
+    many = F.create_map(*[F.lit(x) for e in parts.items() for x in e]) if parts else None
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.coalesce(many[F.col("lang")], F.lit(1))) if parts else F.lit(0)
 
     def train_one(pdf: pd.DataFrame) -> pd.DataFrame:
         lang = pdf["lang"].iloc[0]
-        return pd.DataFrame({"lang": [lang], "data": [dictionary(sorted(pdf["text"]), shared.value[lang])]})
-
-    trained = sampled(documents).groupBy("lang").applyInPandas(train_one, "lang string, data binary").collect()
+        data = dictionary(sorted(pdf["text"]), shared.value[lang])
+        return pd.DataFrame({"lang": [lang], "part": [pdf["part"].iloc[0]], "data": [data]})
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        data = merged(list(pdf.sort_values("part")["data"]))
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "part": [pdf["part"].iloc[0] // MERGED], "data": [data]})
+
+    kinds = "lang string, part long, data binary"
+    found = rows.select("lang", "text", part.cast("long").alias("part")).groupBy("lang", "part").applyInPandas(train_one, kinds)
+    most = max(parts.values(), default=1)
+    while most > 1:
+        found = found.groupBy("lang", F.floor(F.col("part") / MERGED).alias("of")).applyInPandas(merge, kinds)
+        most = -(-most // MERGED)
     out = {lang: (b"", k.counts) for lang, k in known.items() if k.counts}
-    return out | {r["lang"]: (bytes(r["data"]), known[r["lang"]].counts) for r in trained if r["data"]}
+    return out | {r["lang"]: (bytes(r["data"]), known[r["lang"]].counts) for r in found.collect() if r["data"]}
 
 
 def garbled(documents: DataFrame, models: dict[str, tuple[bytes, dict[str, int]]] | None = None) -> DataFrame:
@@ -654,7 +691,7 @@ def garbled(documents: DataFrame, models: dict[str, tuple[bytes, dict[str, int]]
     docs = documents.select("doc_id", "text", "lang")
     if models is None:
         models = fitted(docs)
-    # at most SAMPLE_LANGUAGES dictionaries of DICTIONARY_BYTES each: 3 MB; and a number per language and character
+    # DICTIONARY_BYTES, or an eighth of its texts, and a number per character of each language
     shared = docs.sparkSession.sparkContext.broadcast(models)
     kind = docs.schema["doc_id"].dataType.simpleString()
 

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import pytest
 
-from lodestrata.llm.garbled import SET_READ_AS, UNKNOWN, UTF8_READ_AS, Examiner, Mistakes, fitted, garbled, looks_right, sampled, statistics
+from pyspark.sql import functions as F
+
+from lodestrata.llm.garbled import SET_READ_AS, UNKNOWN, UTF8_READ_AS, Examiner, Mistakes, Page, fitted, garbled, looks_right, sampled, statistics
 
 GERMAN = "Nach der Prüfung von PricePermitAdapter.java läuft spürbar schneller, weil der Index für voucher neu gebaut wurde."
 ENGLISH = "As discussed, the layout layer isn’t covered by any view – ask Zoë or Jiří."
@@ -183,3 +185,33 @@ def test_characters_are_counted_over_all_texts_of_every_language(spark):
     assert {lang: counts for lang, (_, counts) in models.items()} == want
     assert {lang: k.rare for lang, k in statistics(docs).items()}["en"] == {"ș"}
     assert Examiner(models).text(sloppy(GERMAN), "l39")[1] == GERMAN
+
+
+def test_dictionaries_are_trained_on_all_texts(spark):
+    """Long and short texts, rows beyond any sample, the languages beyond the most frequent: all are in the dictionaries."""
+    long, short, late = "lighthouse keepers count gulls", "tide tables at noon", "quartz veins under granite"
+    texts = [("long", f"{long} {i}; " * 600) for i in range(20)] + [("short", f"{short} {i}") for i in range(300)]
+    # one text in ten, so it is worth its place whichever texts a sample would take
+    texts += [("many", f"row {i} says {late if i % 10 == 0 else 'nothing new today'}") for i in range(7000)]
+    texts += [(f"l{k}", f"The layout of view {i} in {k} is not covered.") for k in range(40) for i in range(400)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    models = fitted(docs)
+    assert {lang for lang, (data, _) in models.items() if data} == {lang for lang, _ in texts}
+    for lang, phrase in (("long", long), ("short", short), ("many", late)):
+        assert phrase.encode() in models[lang][0], lang
+    # neither the order of the rows nor their partitions matter
+    assert fitted(docs.orderBy(F.desc("doc_id")).repartition(7)) == models
+
+
+def test_dictionaries_of_parts_are_merged(spark):
+    phrases = ["lighthouse keepers count gulls", "tide tables at noon", "quartz veins under granite", "pupils fold maps of Zürich"]
+    rows = [(i, f"{phrases[i % 4]} {i * 7919 % 100_003}", "en") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    size = sum(len(t) for _, t, _ in rows)
+    whole, parted = fitted(docs), fitted(docs, size // 40)  # 41 parts, more than are merged at once
+    assert whole["en"][1] == parted["en"][1] and set(whole) == set(parted) == {"en"}
+    # the words of each phrase, in the page of the language
+    for word in (w for p in phrases for w in p.split() if len(w) > 5):
+        data = Page(whole["en"][1]).encode(word)
+        assert data in whole["en"][0] and data in parted["en"][0], word
+    assert fitted(docs.repartition(5), size // 40) == parted
